@@ -15,6 +15,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.embedding_dups import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.substring import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.bpe import encode_and_decode
 
@@ -27,6 +45,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.nearest import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.token_files import round_trip
 
@@ -34,7 +59,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_bpe, op6_packing, op10_token_files)}
+    found = (
+        op1_token_counts, op2_embedding_dups, op3_substring, op4_simhash, op5_bpe, op6_packing,
+        op8_nearest, op10_token_files,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
