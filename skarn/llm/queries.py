@@ -45,6 +45,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.nearest import nearest
 
@@ -52,6 +58,12 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.token_files import round_trip
 
@@ -61,7 +73,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_embedding_dups, op3_substring, op4_simhash, op5_bpe, op6_packing,
-        op8_nearest, op10_token_files,
+        op7_toxicity, op8_nearest, op9_quality, op10_token_files,
     )
     return {f.__name__: f for f in found}
 
