@@ -1,7 +1,7 @@
 """Quality classifier: a regularised quadratic discriminant over document statistics.
 
 Statistics of the whole text (length, repetition, capitals, marks, line and word shapes) are
-transformed so that they are closer to normal, and standardised. Each class has its mean and a covariance that is shrunk
+transformed so that they are closer to normal, and standardised; deviations of short texts are shrunk. Each class has its mean and a covariance that is shrunk
 towards a multiple of the identity (Ledoit-Wolf intensity). The score is the logistic function of the
 difference of log densities, from Mahalanobis distances by Cholesky factors that are computed once, plus
 the log odds of the classes.
@@ -30,6 +30,8 @@ STATISTICS = (
     "only_marks", "mixed", "ends", "short", "distinct", "top_word", "same_next", "line_length", "same_lines", "same_pairs",
 )
 
+SHORT = 25  # words at which deviations count half
+
 
 def statistics(texts: list[str | None], words: WordTable) -> np.ndarray:
     """One row of transformed statistics for each whole text."""
@@ -64,7 +66,7 @@ def statistics(texts: list[str | None], words: WordTable) -> np.ndarray:
         if text:
             lines = text.split("\n")
             out[k, 16] = np.log1p(len(text) / len(lines))
-            out[k, 17] = np.sqrt(1 - len(set(lines)) / len(lines))
+            out[k, 17] = np.sqrt((len(lines) - len(set(lines))) / (len(lines) + 3))
     return out
 
 
@@ -87,7 +89,7 @@ class Discriminant:
         self.odds = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
         self.classes = []
         if 2 <= labels.sum() <= len(labels) - 2:
-            self.center, self.scale = rows.mean(0), np.maximum(rows.std(0), 1e-3)
+            self.center, self.scale = np.median(rows, axis=0), np.maximum(rows.std(0), 1e-3)
             z = self.standard(rows)
             for own in (z[labels == 0], z[labels == 1]):
                 factor = np.linalg.cholesky(shrunk_covariance(own, own.mean(0)))
@@ -95,7 +97,9 @@ class Discriminant:
                 self.classes.append((own.mean(0), np.linalg.inv(factor), half_log))
 
     def standard(self, rows: np.ndarray) -> np.ndarray:
-        return np.clip((rows - self.center) / self.scale, -8, 8)
+        """Deviations from the median; those of short texts, which come by chance, are shrunk."""
+        words = np.expm1(rows[:, :1])
+        return np.clip((rows - self.center) / self.scale, -8, 8) * (words / (words + SHORT))
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         value = np.full(len(rows), self.odds)

@@ -165,6 +165,28 @@ class Toxicity:
         return np.clip(score + 1e-4 * (np.tanh(margins / 4) - np.tanh(0)), 0.0, 1.0)
 
 
+def with_copy_key(sample: DataFrame) -> DataFrame:
+    """Adds the least hash of the text's word triples, which near copies mostly share."""
+
+    def make():
+        from xxhash import xxh3_64_intdigest
+
+        def key(text: str | None) -> int:
+            words = (text or "").encode().split()
+            triples = range(max(1, len(words) - 2))
+            return min(xxh3_64_intdigest(b" ".join(words[k : k + 3])) for k in triples) >> 1
+
+        def step(batch: pa.RecordBatch):
+            keys = [key(t) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "label", "copy_key"])
+
+        return step
+
+    return arrow_map(
+        sample.select("doc_id", "text", "label"), make, "doc_id long, text string, label int, copy_key long"
+    )
+
+
 def term_counts(sample: DataFrame) -> DataFrame:
     """Documents of each label and fold that hold each term; a batch sends one row a term."""
 
@@ -200,7 +222,7 @@ def learn_lexicon(sample: DataFrame, sizes: np.ndarray, lexicon_terms: int) -> d
     toxic = sum(F.col(f"n1{f}") for f in range(FOLDS))
     other = sum(F.col(f"n0{f}") for f in range(FOLDS))
     odds = F.log((toxic + 0.5) / (float(sizes[1].sum()) + 1)) - F.log((other + 0.5) / (float(sizes[0].sum()) + 1))
-    least = max(3, int(0.005 * sizes[1].sum()))
+    least = max(4, int(0.01 * sizes[1].sum()))
     rows = (
         term_counts(sample).where((toxic >= least) & (odds > 2.0))
         .orderBy((odds * F.sqrt(toxic)).desc(), "term").limit(lexicon_terms).collect()  # so many rows at most
@@ -219,9 +241,14 @@ def learn_lexicon(sample: DataFrame, sizes: np.ndarray, lexicon_terms: int) -> d
 
 
 def fit(sample: DataFrame, lexicon_terms: int = 2000) -> Toxicity:
-    """``sample``: doc_id, text, label."""
+    """``sample``: doc_id, text, label. Of near copies with the same label one teaches."""
     sample = written(
-        sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")), "sample"
+        with_copy_key(sample).groupBy("copy_key", "label")
+        .agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
+        .select(
+            "doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold")
+        ),
+        "sample",
     )
     sizes = np.zeros((2, FOLDS))
     for r in sample.groupBy("label", "fold").count().collect():  # eight rows at most
