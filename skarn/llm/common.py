@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
     """Maps record batches; ``make()`` runs once in a task and gives the batch function.
 
     The batch function gets a ``pyarrow.RecordBatch`` and yields record batches.
@@ -50,5 +50,20 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataF
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:
+    """The rows for which ``make()`` gives true; it gets lists of the column's values."""
+    at = df.columns.index(column)
+
+    def outer():
+        accept = make()
+
+        def step(batch: pa.RecordBatch):
+            yield batch.filter(pa.array(accept(batch.column(at).to_pylist()), pa.bool_()))
+
+        return step
+
+    return arrow_map(df, outer, df.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_map
+from skarn.llm.common import arrow_filter, arrow_map
 from skarn.llm.encoding import batches
 from skarn.llm.textstats import AT, WordTable, sums
 
@@ -179,6 +179,21 @@ def quality_scores(
     return arrow_map(docs.select(F.col("text").alias("_text"), *keep), make, schema)
 
 
+def accepted(docs: DataFrame, model: Discriminant, threshold: float = 0.7) -> DataFrame:
+    """The documents, with all their columns, that score ``threshold`` or more."""
+
+    def make():
+        words = WordTable()
+
+        def accept(texts: list[str | None]) -> np.ndarray:
+            parts = [model.score(statistics(texts[lo:hi], words)) >= threshold for lo, hi in batches(texts)]
+            return np.concatenate(parts) if parts else np.empty(0, bool)
+
+        return accept
+
+    return arrow_filter(docs, "text", make)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Discriminant:
     """The model on rows whose fold modulo 4 is not 2."""
     use = fold(F.col("doc_id"), 4) != 2

@@ -196,3 +196,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) ->
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def first_of_each_group(docs: DataFrame) -> DataFrame:
+    """One document of each component, that of least doc_id, with all its columns.
+
+    Of rows that share a doc_id one stays; rows without a doc_id cannot be told apart and stay.
+    """
+    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

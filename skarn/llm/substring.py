@@ -149,9 +149,7 @@ def by_document(rows: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
     same = docs["doc_id"].eqNullSafe(places["doc_id"]) & (docs["text_hash"] == places["text_hash"])
-    return docs.join(places, same, how).select(
-        docs["doc_id"], docs["text_hash"], docs["text"], places["places"]
-    )
+    return docs.join(places, same, how).select(*(docs[c] for c in docs.columns), places["places"])
 
 
 def repeated_windows(
@@ -166,7 +164,7 @@ def repeated_windows(
         def step(batch: pa.RecordBatch):
             words, counts = split_batch(batch.column(2).to_pylist())
             begins = np.cumsum(counts) - counts
-            lists = batch.column(3)
+            lists = batch.column(batch.num_columns - 1)
             owner = np.repeat(np.arange(len(counts)), np.diff(lists.offsets.to_numpy()))
             at = lists.flatten().to_numpy() + begins[owner]
             # windows that hold an anchor begin up to period - 1 words before it
@@ -196,19 +194,23 @@ def repeated_windows(
     return repeated(rows, "key", "key2")
 
 
-def remove_repeated(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
+def remove_repeated(
+    docs: DataFrame, window: int = 35, with_text: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each document.
 
     ``with_text`` adds kept_text: the whole text where nothing is removed, else the kept words joined
-    by one space.
+    by one space. ``keep`` names further columns to return.
     """
-    keyed = docs.select("doc_id", F.hash("text").alias("text_hash"), "text")
+    # both joins read these columns, so that Spark shuffles the texts once for the two of them
+    keyed = docs.select("doc_id", F.hash("text").alias("text_hash"), "text", *(F.col(c).alias(f"_{c}") for c in keep))
+    kinds = dict(docs.dtypes)
     places = by_document(repeated_windows(keyed, window))
 
     def make():
         def step(batch: pa.RecordBatch):
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for text, starts in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for text, starts in zip(batch.column(2).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
                 words = (text or "").encode().split()
                 removed = 0
                 if starts.is_valid and len(starts.values):
@@ -216,9 +218,9 @@ def remove_repeated(docs: DataFrame, window: int = 35, with_text: bool = False)
                     marks = np.zeros(len(words) + 1, np.int64)
                     np.add.at(marks, at, 1)
                     np.add.at(marks, at + window, -1)
-                    keep = np.cumsum(marks)[:-1] <= 0
-                    removed = int((~keep).sum())
-                    kept = b" ".join([words[k] for k in np.flatnonzero(keep)])
+                    stays = np.cumsum(marks)[:-1] <= 0
+                    removed = int((~stays).sum())
+                    kept = b" ".join([words[k] for k in np.flatnonzero(stays)])
                 else:
                     kept = b" ".join(words)
                 n_words.append(len(words))
@@ -231,11 +233,13 @@ def remove_repeated(docs: DataFrame, window: int = 35, with_text: bool = False)
             if with_text:
                 columns.append(pa.array(kept_texts, pa.string()))
                 names.append("kept_text")
-            yield pa.record_batch(columns, names=names)
+            columns += [batch.column(3 + k) for k in range(len(keep))]
+            yield pa.record_batch(columns, names=[*names, *keep])
 
         return step
 
     return arrow_map(
         joined(keyed, places, "left"), make,
-        "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text,
+        "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+        + "".join(f", `{c}` {kinds[c]}" for c in keep),
     )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_map, written
+from skarn.llm.common import arrow_filter, arrow_map, written
 from skarn.llm.encoding import batches
 from skarn.llm.quality import fold, labelled_sample
 from skarn.llm.textstats import AT, COLUMNS, EDGES, WordTable, sums, word_terms
@@ -312,6 +312,21 @@ def toxicity_scores(
     return arrow_map(docs.select(F.col("text").alias("_text"), *keep), make, schema)
 
 
+def accepted(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, that score below ``threshold``."""
+
+    def make():
+        words = WordTable(model.lexicon, 1)
+
+        def accept(texts: list[str | None]) -> np.ndarray:
+            parts = [model.score(features(texts[lo:hi], words)[0]) < threshold for lo, hi in batches(texts)]
+            return np.concatenate(parts) if parts else np.empty(0, bool)
+
+        return accept
+
+    return arrow_filter(docs, "text", make)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Toxicity:
     """The model on rows whose fold modulo 5 is not 0."""
     use = fold(F.col("doc_id"), 5) != 0
