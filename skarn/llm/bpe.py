@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skarn.llm.common import arrow_map
-from skarn.llm.encoding import BulkEncoder, batches, take_ranges, tokenizer_path
+from skarn.llm.encoding import CACHE_WORDS, BulkEncoder, batches, take_ranges, tokenizer_path
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,7 +42,7 @@ class BacktrackingEncoder(BulkEncoder):
 
     BREAK = "Ā"  # between words; no byte as a Latin-1 letter
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import ahocorasick
         import regex
 

@@ -16,9 +16,9 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per Spark task
 
@@ -32,7 +32,7 @@ UNSURE = (
 )
 
 #: Cached pre-tokens of one worker; the cache starts anew beyond it (about 150 MB).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -45,16 +45,83 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class _Interner(dict):
     """Numbers the words that are looked up, in the order in which they first come."""
 
-    def __missing__(self, word: str) -> int:
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
+        self.fresh.append(word)
         return number
 
 
+LETTER, NUMBER, OTHER, SPACE, NOT_SURE = range(5)
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """What the cut into pre-tokens knows of each code point."""
+    import regex
+
+    table = np.full(0x110000, NOT_SURE, np.uint8)
+    unsure, kinds = regex.compile(UNSURE), [regex.compile(x) for x in (r"\p{L}", r"\p{N}", r"\s")]
+    for start, end in ((0, 0xD800), (0xF900, 0x20000)):
+        for code in range(start, end):
+            c = chr(code)
+            if not unsure.match(c):
+                letter, number, space = (k.match(c) is not None for k in kinds)
+                table[code] = LETTER if letter else NUMBER if number else SPACE if space else OTHER
+    return table
+
+
+def word_starts(codes: np.ndarray, classes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of joined texts begin, as the pattern ``PRETOKEN`` cuts them.
+
+    A run of letters, numbers or other marks is one pre-token, together with one blank before it.
+    Of a run of white space before something else, the last character is split off; the blank that
+    belongs to the next run is that character. An apostrophe that stands alone between such runs,
+    with an ending like ``s`` or ``ll`` after it, is one with this ending.
+    """
+    n = len(codes)
+    at_begin = np.zeros(n + 1, bool)
+    at_begin[begins] = True
+    at_begin[n] = True
+    run = np.empty(n, bool)
+    run[0] = True
+    np.not_equal(classes[1:], classes[:-1], out=run[1:])
+    run |= at_begin[:n]
+    space = classes == SPACE
+    last = np.empty(n, bool)  # the last of a run of white space that is not at its text's end
+    last[:-1] = run[1:] & space[:-1]
+    last[-1] = False
+    last &= ~at_begin[1:]
+    after_blank = np.zeros(n, bool)
+    after_blank[1:] = codes[:-1] == 32
+    after_blank &= ~at_begin[:n]
+    starts = (run & (space | ~after_blank)) | last
+    marks = np.flatnonzero((codes == 39) & run & ~after_blank)
+    marks = marks[marks + 1 < n]
+    marks = marks[run[marks + 1] & (classes[marks + 1] == LETTER) & ~at_begin[marks + 1]]
+    if len(marks):
+        one = codes[marks + 1]
+        two = np.where(at_begin[np.minimum(marks + 2, n)], 0, codes[np.minimum(marks + 2, n - 1)])
+        single = np.isin(one, [ord(c) for c in "stmd"])
+        double = ((np.isin(one, [ord("r"), ord("v")]) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))) & (marks + 2 < n)
+        marks, size = marks[single | double], np.where(single, 1, 2)[single | double]
+        starts[marks + 1] = False
+        rest = marks + 1 + size
+        inside = rest < n
+        starts[rest[inside]] = True  # letters that go on, or a run that begins here anyway
+        blank = rest[inside & (rest < n)]
+        # a blank that begins a run begins a pre-token in any case; so does every other run
+        starts[blank] |= run[blank]
+    return np.flatnonzero(starts)
+
+
 class BulkEncoder:
     """Token ids of many texts at once. Null texts count as empty."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -70,31 +137,29 @@ class BulkEncoder:
             and not spec.get("normalizer")
             and spec["model"].get("type") == "BPE"
         )
+        # words come here cut already, so that the library need not cut them again
+        from tokenizers import pre_tokenizers
+
+        self.word_library = Tokenizer.from_file(path)
+        self.word_library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.findall = regex.compile(PRETOKEN).findall
-        self.unsure = regex.compile(UNSURE).search
+        self.classes = character_classes()
         self.cache_words = cache_words
         self._clear()
 
     def _clear(self) -> None:
         self.index = _Interner()
         self.pool = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)  # of each cached word in the pool
-        self.counts = np.zeros(1 << 14, np.int64)
+        self.starts = np.zeros(1 << 14, np.uint32)  # of each cached word in the pool
+        self.counts = np.zeros(1 << 14, np.uint32)
         self.filled = 0
 
-    def _plain(self, text: str) -> bool:
-        """Whether the text can be cut into pre-tokens here."""
-        if not self.byte_level or any(a in text for a in self.added):
-            return False
-        return text.isascii() or self.unsure(text) is None
-
     def _learn(self, words: list[str]) -> None:
         """Adds the newest words of the index to the pool."""
         flat, counts = [], []
         for k in range(0, len(words), 1000):
             part = words[k : k + 1000]
-            encoded = self.library.encode_batch(
+            encoded = self.word_library.encode_batch(
                 [part], is_pretokenized=True, add_special_tokens=False
             )[0]
             flat.append(np.array(encoded.ids, np.uint32))
@@ -104,24 +169,50 @@ class BulkEncoder:
     def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         first, last = len(self.index) - len(sizes), len(self.index)
         if self.filled + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * (self.filled + len(ids)))
+            self.pool = np.resize(self.pool, 3 * (self.filled + len(ids)) // 2)
         if last > len(self.starts):
-            self.starts = np.resize(self.starts, 2 * last)
-            self.counts = np.resize(self.counts, 2 * last)
+            self.starts = np.resize(self.starts, 3 * last // 2)
+            self.counts = np.resize(self.counts, 3 * last // 2)
         self.pool[self.filled : self.filled + len(ids)] = ids
         self.starts[first:last] = self.filled + np.cumsum(sizes) - sizes
         self.counts[first:last] = sizes
         self.filled += len(ids)
 
-    def _places(self, words: list[str]) -> np.ndarray:
-        known = len(self.index)
+    def _places(self, words: list[bytes]) -> np.ndarray:
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if len(self.index) > known:
-            self._learn(list(islice(self.index, known, None)))
+        if self.index.fresh:
+            self._learn([w.decode() for w in self.index.fresh])
+            self.index.fresh.clear()
         return at
 
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | list[int]:
+        """Cached words of all texts, and how many each has; or the texts that are not plain."""
+        joined = "".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not joined:
+            return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        classes = self.classes[codes]
+        ends = np.cumsum(sizes)
+        unsure = np.flatnonzero(classes == NOT_SURE)
+        if len(unsure):
+            return np.unique(np.searchsorted(ends, unsure, side="right")).tolist()
+        starts = word_starts(codes, classes, (ends - sizes)[sizes > 0])
+        data = joined.encode()
+        if len(data) == len(codes):
+            places = starts
+        else:
+            width = 1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF)
+            places = (np.cumsum(width, dtype=np.int64) - width)[starts]
+        offsets = np.append(places, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+        ).dictionary_encode()
+        at = self._places(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        return at, np.diff(np.append(np.searchsorted(starts, ends - sizes), len(starts)))
+
     def _ids_of_words(self, words: list[str]) -> np.ndarray:
-        at = self._places(words)
+        at = self._places([w.encode() for w in words])
         return take_ranges(self.pool, self.starts[at], self.counts[at])
 
     def _whole(self, text: str) -> np.ndarray:
@@ -131,22 +222,21 @@ class BulkEncoder:
         """All ids in one array (uint32), and the offsets at which each text's begin."""
         if len(self.index) > self.cache_words:
             self._clear()
-        words: list[str] = []
-        per_text = np.zeros(len(texts), np.int64)
-        whole: dict[int, np.ndarray] = {}
+        plain, whole = list(texts), {}
         for k, text in enumerate(texts):
             if not text:
-                continue
-            if self._plain(text):
-                cut = self.findall(text)
-                per_text[k] = len(cut)
-                words += cut
-            else:
-                whole[k] = self._whole(text)
-        at = self._places(words)
+                plain[k] = ""
+            elif not self.byte_level or any(a in text for a in self.added):
+                plain[k], whole[k] = "", self._whole(text)
+        cut = self._cut(plain)
+        if isinstance(cut, list):
+            for k in cut:
+                plain[k], whole[k] = "", self._whole(texts[k])
+            cut = self._cut(plain)
+        at, per_text = cut
         counts = self.counts[at]
         ids = take_ranges(self.pool, self.starts[at], counts)
-        ends = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         offsets = ends[np.concatenate([[0], np.cumsum(per_text)])]
         if whole:
             parts = [
@@ -160,15 +250,15 @@ class BulkEncoder:
 
 def take_ranges(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The ranges ``pool[start : start + count]`` one after another."""
-    total = int(counts.sum())
+    ends = np.cumsum(counts, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
     if not total:
         return pool[:0]
-    ends = np.cumsum(counts)
     where = np.arange(total) + np.repeat(starts - (ends - counts), counts)
     return pool[where]
 
 
-def batches(texts: list, most_chars: int = 1 << 20):
+def batches(texts: list, most_chars: int = 3 << 19):
     """Ranges of neighbouring texts of about so many characters each; bounds memory."""
     begin = chars = 0
     for k, text in enumerate(texts):

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.llm.common import arrow_map, shared_folder, written
-from skarn.llm.encoding import batches, bulk_encoder, take_ranges, tokenizer_path
+from skarn.llm.encoding import batches, bulk_encoder, tokenizer_path
 
 VERSION = 1
 STRIDE = 256
 LIMIT = 18
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 19
 FILE_TOKENS = 1 << 23
 BLOCKS = (
     "file_no int, block_no int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
@@ -85,8 +85,8 @@ class Code:
     def writer(self) -> tuple[np.ndarray, np.ndarray]:
         """Code and length by id."""
         size = int(self.symbols.max()) + 1 if len(self.symbols) else 1
-        code, length = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        code[self.symbols] = self.first >> (self.width - self.lengths)
+        code, length = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        code[self.symbols] = (self.first >> (self.width - self.lengths)).astype(np.uint64)
         length[self.symbols] = self.lengths
         return code, length
 
@@ -99,22 +99,31 @@ class Code:
         return symbol, length
 
 
-def huffman_encode(ids: np.ndarray, offsets: np.ndarray, code: np.ndarray, length: np.ndarray):
-    """Bytes of all documents, where each begins, and bit offsets within documents by id."""
+def huffman_encode(
+    ids: np.ndarray, offsets: np.ndarray, code: np.ndarray, length: np.ndarray, stride: int
+):
+    """Bytes of all documents, where each begins, and its bit offsets of every stride-th id.
+
+    Bits are gathered in words of 64: codes of a word never meet, so that their sum is their
+    union. A code that crosses into the next word leaves its low bits there.
+    """
     bits = length[ids]
-    ends = np.concatenate([[0], np.cumsum(bits)])
-    doc_bits = ends[offsets[1:]] - ends[offsets[:-1]]
-    doc_bytes = (doc_bits + 7) // 8
+    ends = np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
+    doc_bytes = (np.diff(ends[offsets]) + 7) // 8
     starts = np.concatenate([[0], np.cumsum(doc_bytes)])
-    within = ends[:-1] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
-    position = within + 8 * np.repeat(starts[:-1], np.diff(offsets))
-    word = code[ids] << (32 - bits - (position & 7))
-    at, size = position >> 3, int(starts[-1]) + 4
-    out = np.zeros(size, np.uint8)
-    for k in range(4):  # bits of different ids never meet, so that sums are unions
-        part = (word >> (24 - 8 * k)) & 255
-        out += np.bincount(at + k, weights=part, minlength=size)[:size].astype(np.uint8)
-    return out[: int(starts[-1])], starts, within
+    shift = 8 * starts[:-1] - ends[offsets[:-1]]
+    position = ends[:-1] + np.repeat(shift, np.diff(offsets))
+    word, room = position >> 6, 64 - (position & 63) - bits  # room left to the right of a code
+    value = code[ids]
+    high = np.where(room >= 0, value << np.maximum(room, 0).astype(np.uint64), value >> np.maximum(-room, 0).astype(np.uint64))
+    out = np.zeros(int(starts[-1]) // 8 + 2, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    if len(first):
+        out[word[first]] = np.add.reduceat(high, first)
+    over = np.flatnonzero(room < 0)  # one code at most leaves a word
+    out[word[over] + 1] += value[over] << (64 + room[over]).astype(np.uint64)
+    marks = [ends[a:b:stride] - ends[a] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return out.astype(">u8").view(np.uint8)[: int(starts[-1])], starts, marks
 
 
 def huffman_decode(
@@ -150,9 +159,10 @@ def stage_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for lo, hi in batches(texts):
                 ids, offsets = encoder.encode(texts[lo:hi])
-                ids = np.insert(ids, offsets[1:], end_id).astype(kind)
+                width, ends, raw = np.dtype(kind).itemsize, offsets.tolist(), ids.astype(kind).tobytes()
+                last = np.array([end_id], kind).tobytes()
+                data = [raw[width * a : width * b] + last for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 offsets = offsets + np.arange(len(offsets))
-                data = [ids[offsets[k] : offsets[k + 1]].tobytes() for k in range(hi - lo)]
                 yield pa.record_batch(
                     [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(data, pa.binary())],
                     names=["doc_id", "n_tokens", "ids"],
@@ -167,14 +177,22 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def stored_ids(column: pa.Array, kind: str) -> np.ndarray:
+    """The ids of all rows of a binary column; its bytes lie side by side."""
+    if not len(column):
+        return np.empty(0, kind)
+    at = column.offset
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[at : at + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
 def count_ids(staged: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
     """Occurrences of each id; a task sends one sum for each id at most."""
 
     def run(all_batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in all_batches:
-            for data in batch.column(0):
-                total += np.bincount(np.frombuffer(data.as_buffer(), kind), minlength=vocabulary)
+            total += np.bincount(stored_ids(batch.column(0), kind), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
@@ -219,18 +237,18 @@ def write_token_files(
 
         def step(batch: pa.RecordBatch):
             n = np.asarray(batch.column(1))
-            most = max(1, int(np.ceil(n.sum() / (1 << 20))))
+            most = max(1, int(np.ceil(n.sum() / (1 << 17))))  # arrays that fit a core's cache
             for part in np.array_split(np.arange(len(n)), most):
                 if not len(part):
                     continue
                 lo, hi = int(part[0]), int(part[-1]) + 1
-                ids = np.frombuffer(b"".join(batch.column(2).slice(lo, hi - lo).to_pylist()), kind).astype(np.int64)
+                ids = stored_ids(batch.column(2).slice(lo, hi - lo), kind)
                 offsets = np.concatenate([[0], np.cumsum(n[lo:hi])])
-                data, starts, within = huffman_encode(ids, offsets, table, bits)
+                data, starts, marks = huffman_encode(ids, offsets, table, bits, stride)
                 doc_ids = batch.column(0).slice(lo, hi - lo)
                 file_no = np.searchsorted(cuts, doc_ids.fill_null(-(1 << 63)).to_numpy(), side="right")
-                marks = [within[offsets[k] : offsets[k + 1] : stride] for k in range(hi - lo)]
-                bodies = [data[starts[k] : starts[k + 1]].tobytes() for k in range(hi - lo)]
+                raw, ends = data.tobytes(), starts.tolist()
+                bodies = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.record_batch(
                     [
                         pa.array(file_no.astype(np.int32)), doc_ids, pa.array(n[lo:hi]),
@@ -326,12 +344,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
         + (", ids array<long>" if with_ids else ""),
     )
     sizes = stored.select("file_no", "block_no", "n_tokens")
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
     files = sizes.groupBy("file_no").agg(F.sum("n_tokens").alias("_n"))  # one row a file
     files = files.select(
         "file_no", F.coalesce(F.sum("_n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_file"),
     )
-    del before
     inside = Window.partitionBy("file_no").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         "file_no", "block_no", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("_block")
@@ -350,4 +366,4 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -
     return read_token_files(spark, path, with_ids=False)
 
 
-__all__ = ["Code", "code_lengths", "read_token_files", "round_trip", "take_ranges", "write_token_files"]
+__all__ = ["Code", "code_lengths", "read_token_files", "round_trip", "write_token_files"]
