@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def digest(value: Column) -> Column:
@@ -31,7 +32,7 @@ def canonical_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical(text: pd.Series) -> pd.Series:
     """Canonical form of JSON text."""
     return text.map(lambda t: t if t is None else canonical_json(json.loads(t)))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TAG = r"(?i)<(p|div|span|table|img|a|br|ul|ol|li|h[1-6])\b[^>]*>"
+TAG = r"<[a-zA-Z][^>]*>"
 RESOURCE = r":/([0-9a-fA-F]{32})"
-SAFE_URL = r"^(https?:|onenote:|joplin:|:/)"
+#: Prefixes of URLs that may be rendered as links (fixed values).
+SAFE_PREFIXES = ("http://", "https://", "onenote:", ":/", "joplin://")
+PAGE_URL = r"^onenote://page/(.+)$"
+PAGE_MARKER = r"ojr:onenote_page_id=([^\s<>\"']+)"
+DATED_SUFFIX = r"\s*\([^()]*(?:\d{1,4}[./-]\d{1,2}[./-]\d{1,4})[^()]*\)\s*$"
 MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "pdf": "application/pdf", "txt": "text/plain", "html": "text/html", "csv": "text/csv", "json": "application/json", "zip": "application/zip"}
 
 
@@ -28,7 +32,9 @@ def resource_refs(body: Column) -> Column:
     return F.array_distinct(F.transform(found, F.lower))
 
 
-def embedded_id(url: Column, body: Column, url_pattern: str, body_pattern: str) -> Column:
+def embedded_id(
+    url: Column, body: Column, url_pattern: str = PAGE_URL, body_pattern: str = PAGE_MARKER
+) -> Column:
     """The id that the source URL names, or else the marker in the body, URL-decoded; or null."""
     from_url = F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), url_pattern, 1), F.lit(""))
     from_body = F.nullif(F.regexp_extract(F.coalesce(body, F.lit("")), body_pattern, 1), F.lit(""))
@@ -44,7 +50,11 @@ def quote_url(value: Column) -> Column:
 
 
 def is_safe_url(value: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(value)).rlike(SAFE_URL), F.lit(False))
+    plain = F.lower(F.trim(value))
+    found = F.lit(False)
+    for prefix in SAFE_PREFIXES:
+        found = found | F.startswith(plain, F.lit(prefix))
+    return F.coalesce(found, F.lit(False))
 
 
 def escape_html(value: Column, attribute: bool = False) -> Column:
@@ -73,5 +83,5 @@ def media_type(value: Column) -> Column:
 
 def logical_title(stem: Column) -> Column:
     """A title without a dated suffix in parentheses; the title itself where nothing else is left."""
-    cut = F.trim(F.regexp_replace(stem, r"\s*\((?:On )?\d{1,4}[-./]\d{1,2}[-./]\d{1,4}\)\s*$", ""))
+    cut = F.rtrim(F.regexp_replace(stem, DATED_SUFFIX, ""))
     return F.coalesce(F.nullif(cut, F.lit("")), stem)

@@ -12,28 +12,29 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Characters that are deleted, and those that become a blank (fixed values).
-ZERO_WIDTH = r"[​‌‍﻿]"
-WIDE_BLANKS = r"[   ]"
+ZERO_WIDTH = r"[\u200B\u200C\u200D\uFEFF]"
+WIDE_BLANKS = r"[\u00A0\u202F\u2007]"
 #: White space at the edges of lines, in the wide sense of Unicode strings (fixed values).
-EDGE = r"[\t\u000B\f\r\u001C-\u001F \u0085   -     　]"
+EDGE = r"[\t\n\u000B\f\r\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: Line ends in the wide sense: also file, group and record separators (fixed values).
-LINE_END = r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085  ]"
+LINE_END = r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085\u2028\u2029]"
 #: Titles that say nothing (fixed values).
-PLACEHOLDER_TITLES = ("", "untitled", "untitled page", "new page", "untitled note", "без названия")
+PLACEHOLDER_TITLES = ("", "untitled page", "untitled note", "untitled", "new page", "без названия")
 
 MIN_BLOCKING_LINE = 30
 MIN_DISTINCTIVE_LINE = 15
 MIN_TEXT_HASH = 20
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else t.casefold())
 
