@@ -59,18 +59,18 @@ def block_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_records(df: DataFrame, record_id: str, body: str, path: F.Column) -> DataFrame:
-    """Rows with plain texts as records of a snapshot."""
+    """Rows with plain texts as records of a snapshot; they have no titles, so that content alone links them."""
     nothing = F.array().cast("array<string>")
     norm = text.normalize_text(F.col(body))
     plain = df.select(F.col(record_id).cast("string").alias("record_id"), norm.alias("text"), path.alias("_path"))
     digest = hashing.digest(F.col("text"))
     resource = "array<struct<sha256:string,status:string,is_image:boolean>>"
     return plain.select(
-        "record_id", "text", "_path", text.first_line(F.col("text")).alias("title"), digest.alias("text_sha256"), digest.alias("semantic_sha256"),
+        "record_id", "text", "_path", F.lit("").alias("title"), digest.alias("text_sha256"), digest.alias("semantic_sha256"),
         F.lit(model.NORMALIZER).alias("normalizer_version"), F.lit(None).cast("string").alias("created_at"), F.lit(None).cast("string").alias("updated_at"),
         nothing.alias("resource_hashes"), nothing.alias("link_targets"), nothing.alias("warnings"), F.array().cast(resource).alias("resources"),
         F.lit(0).alias("image_count"), F.lit(0).alias("attachment_count"), F.lit(1).alias("page_level"), F.lit("markdown").alias("raw_content_format"),
-        F.lit(None).cast("string").alias("embedded_page_id"), text.first_line(F.col("text")).alias("page_title"),
+        F.lit(None).cast("string").alias("embedded_page_id"), F.lit("").alias("page_title"),
     )
 
 
