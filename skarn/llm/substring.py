@@ -7,12 +7,13 @@ Hashing every window would shuffle as many rows as there are words. A difference
 v has, for any two positions i and j, an offset d < v with both i + d and j + d in D modulo v. So
 only anchors are hashed: windows of ``window - v + 1`` words that begin at cover positions. Two equal
 windows share an anchor at the same offset. Anchors that occur twice are sent back to their
-documents, and extended there: every full window that holds such an anchor is hashed with 128 bits.
+documents, and extended there: every full window that holds such an anchor is hashed with 96 bits.
 Those that occur twice are the repeated windows, no more and no less.
 
-Both counts pre-aggregate: of the equal hashes in a batch one row goes to the hash's task, with the
-number of them as its weight; the others are known to be repeated, and are dealt out
-evenly. So a passage that a third of all documents hold burdens no task.
+Both counts pre-aggregate. A task gathers keys, and of equal keys it sends one, marked as known to be
+repeated, to the key's bucket; the other places need no counting and are dealt out evenly. So a passage
+that a third of all documents hold burdens no task. Keys travel in blocks of byte planes, which
+compress well, and a bucket is sorted and counted with numpy.
 
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D, unchanged. Null and empty texts have none.
 Repeated rows count as documents of their own, so they repeat each other; null doc_ids are
@@ -29,11 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import arrow_map
+from skarn.llm.encoding import batches as text_ranges
 
 #: A difference cover (fixed values): differences of these give all residues modulo 21.
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 
+#: Bytes of a key. Anchors only filter, so that a few chance repeats do no harm; windows decide.
+ANCHOR_KEY, WINDOW_KEY = 6, 12
+
 STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 SECOND_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -68,23 +73,184 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def dealt(
-    key: np.ndarray, more: np.ndarray, second: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and weights: the first of equal keys stands for all of them, and the others, known
-    to be repeated, get keys of their own. Keys are equal if their ``second`` halves are too."""
-    order = np.argsort(key, kind="stable")
-    first = np.ones(len(key), bool)
+class Sender:
+    """Gathers (key, document, position) records of a task and sends them in blocks by bucket."""
+
+    def __init__(self, key_bytes: int, buckets: int, most: int = 1 << 20):
+        self.key_bytes, self.buckets, self.most = key_bytes, buckets, most
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray, check: np.ndarray | None, docs: np.ndarray, position: np.ndarray):
+        """``docs``: 13 bytes a record that tell its document; yields blocks when enough is held."""
+        width = self.key_bytes
+        rows = np.empty((len(key), width + DOCUMENT + 4), np.uint8)
+        rows[:, : min(width, 8)] = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : min(width, 8)]
+        if check is not None:
+            rows[:, 8:width] = check.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : width - 8]
+        rows[:, width : width + DOCUMENT] = docs
+        rows[:, width + DOCUMENT :] = position.astype("<u4").view(np.uint8).reshape(-1, 4)
+        self.held.append(rows)
+        self.size += len(rows)
+        if self.size >= self.most:
+            yield from self.flush()
+
+    def flush(self):
+        if not self.size:
+            return
+        rows, width = np.concatenate(self.held), self.key_bytes
+        self.held, self.size = [], 0
+        order, first = sorted_keys(rows, width)
+        rows = rows[order]
+        starts = np.flatnonzero(first)
+        several = np.diff(np.append(starts, len(rows))) > 1
+        one = rows[starts]
+        one[several, width + FLAGS] |= REPEATED
+        yield self.blocks(one, first_key(one, width) % np.uint64(self.buckets), width, False)
+        others = rows[~first][:, width:]
+        if len(others):
+            where = mixed(first_key(others, 8)) % np.uint64(self.buckets)  # by document
+            yield self.blocks(others, where, 0, True)
+
+    def blocks(self, rows: np.ndarray, bucket: np.ndarray, width: int, known: bool):
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        starts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+        bodies = [
+            np.ascontiguousarray(rows[a:b].T).tobytes()
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)
+        ]
+        return pa.record_batch(
+            [
+                pa.array(bucket[starts].astype(np.int32)), pa.array(np.full(len(starts), known)),
+                pa.array(bodies, pa.binary()),
+            ],
+            names=["bucket", "known", "body"],
+        )
+
+
+#: Bytes that tell a document: doc_id, flags, hash of the text (tells rows of one doc_id apart).
+DOCUMENT, FLAGS = 13, 8
+REPEATED, NO_ID = 1, 2
+
+
+def document_bytes(doc_id: pa.Array, text_hash: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(doc_id), DOCUMENT), np.uint8)
+    out[:, :8] = doc_id.fill_null(0).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
+    out[:, FLAGS] = np.where(np.asarray(doc_id.is_null()), NO_ID, 0)
+    out[:, FLAGS + 1 :] = text_hash.astype("<i4").view(np.uint8).reshape(-1, 4)
+    return out
+
+
+def first_key(rows: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, : min(width, 8)] = rows[:, : min(width, 8)]
+    return out.view("<u8")[:, 0]
+
+
+def sorted_keys(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and which of the ordered rows begin a key."""
+    key = first_key(rows, width)
+    if width <= 8:
+        order = np.argsort(key, kind="stable")
+        check = None
+    else:
+        check = first_key(rows[:, 8:width], width - 8)
+        order = np.lexsort((check, key))
+    first = np.ones(len(rows), bool)
     first[1:] = key[order[1:]] != key[order[:-1]]
-    if second is not None:
-        first[1:] |= second[order[1:]] != second[order[:-1]]
-    starts = np.flatnonzero(first)
-    weight = np.full(len(key), 2, np.int64)
-    weight[order[starts]] = np.diff(np.append(starts, len(key)))
-    out = key.copy()
-    others = order[~first]
-    out[others] = mixed(more[others] + np.uint64(0x5851F42D4C957F2D) * (others.astype(np.uint64) + np.uint64(1)))
-    return out, weight
+    if check is not None:
+        first[1:] |= check[order[1:]] != check[order[:-1]]
+    return order, first
+
+
+def by_document_blocks(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places (documents and positions, no keys) in one block for each bucket of documents."""
+    bucket = mixed(first_key(rows, 8)) % np.uint64(buckets)
+    order = np.lexsort((first_key(rows[:, FLAGS:DOCUMENT], 5), first_key(rows, 8), bucket))
+    rows, bucket = rows[order], bucket[order].astype(np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    bodies = [
+        np.ascontiguousarray(rows[a:b].T).tobytes()
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)
+    ]
+    return pa.record_batch(
+        [pa.array(bucket[starts].astype(np.int32)), pa.array(bodies, pa.binary())], names=["bucket", "body"]
+    )
+
+
+def repeated_places(sent: DataFrame, key_bytes: int, partitions: int) -> DataFrame:
+    """Places whose key occurs more than once: doc_id, text_hash, places, one row a document."""
+    width = DOCUMENT + 4
+
+    def count(all_batches):
+        known, keyed = [], []
+        for batch in all_batches:
+            for is_known, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                size = width + (0 if is_known else key_bytes)
+                (known if is_known else keyed).append(np.frombuffer(body, np.uint8).reshape(size, -1))
+        found = [x.T for x in known]
+        # a part of the keys at a time, where a partition holds very many
+        parts = max(1, sum(x.shape[1] for x in keyed) >> 21)
+        for part in range(parts):
+            some = [x.T if parts == 1 else x.T[x[key_bytes - 1] % parts == part] for x in keyed]
+            if not some:
+                continue
+            rows = np.concatenate(some)
+            order, first = sorted_keys(rows, key_bytes)
+            rows = rows[order]
+            starts = np.flatnonzero(first)
+            counts = np.diff(np.append(starts, len(rows)))
+            if len(rows):
+                marked = np.maximum.reduceat(rows[:, key_bytes + FLAGS] & REPEATED, starts)
+                found.append(rows[np.repeat((counts > 1) | (marked > 0), counts), key_bytes:])
+        if found:
+            rows = np.concatenate(found)
+            rows[:, FLAGS] &= NO_ID
+            yield by_document_blocks(rows, partitions)
+
+    def gather(all_batches):
+        found = [
+            np.frombuffer(body, np.uint8).reshape(width, -1).T
+            for batch in all_batches for body in batch.column(1).to_pylist()
+        ]
+        if not found:
+            return
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((first_key(rows[:, FLAGS:DOCUMENT], 5), first_key(rows, 8)))]
+        starts = np.flatnonzero(np.append(True, (rows[1:, :DOCUMENT] != rows[:-1, :DOCUMENT]).any(1)))
+        heads = rows[starts]
+        places = np.ascontiguousarray(rows[:, DOCUMENT:]).view("<u4")[:, 0].astype(np.int32)
+        table = pa.table(
+            {
+                "doc_id": pa.array(first_key(heads, 8).view(np.int64), mask=heads[:, FLAGS] > 0),
+                "text_hash": pa.array(np.ascontiguousarray(heads[:, FLAGS + 1 : DOCUMENT]).view("<i4")[:, 0]),
+                "places": pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(places)),
+            }
+        )
+        yield from table.to_batches(max_chunksize=4096)
+
+    return (
+        sent.repartition(partitions, "bucket").mapInArrow(count, "bucket int, body binary")
+        .repartition(partitions, "bucket").mapInArrow(gather, "doc_id long, text_hash int, places array<int>")
+    )
+
+
+def send(docs: DataFrame, key_bytes: int, buckets: int, records) -> DataFrame:
+    """Blocks of the records that ``records()`` finds in each batch."""
+
+    def run(all_batches):
+        find, sender = records(), Sender(key_bytes, buckets)
+        for batch in all_batches:
+            texts = batch.column(2).to_pylist()
+            for lo, hi in text_ranges(texts):
+                part = batch.slice(lo, hi - lo)
+                key, check, owner, position = find(part, texts[lo:hi])
+                told = document_bytes(part.column(0), part.column(1).to_numpy())
+                yield from sender.add(key, check, told[owner], position)
+        yield from sender.flush()
+
+    return docs.mapInArrow(run, "bucket int, known boolean, body binary")
 
 
 def split_batch(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -98,53 +264,48 @@ def split_batch(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     return words, counts
 
 
-def anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """Keys of all anchors: key, weight, doc_id, place (text hash and word position)."""
+def anchors(window: int, period: int, cover: tuple[int, ...]):
+    """Finds the anchors of documents that are long enough to hold a window."""
     width = window - period + 1
-
-    def make():
-        roll = Rolling(STEP)
-        in_cover = np.isin(np.arange(period), cover)
-
-        def step(batch: pa.RecordBatch):
-            words, counts = split_batch(batch.column(2).to_pylist())
-            begins = np.cumsum(counts) - counts
-            position = np.arange(len(words)) - np.repeat(begins, counts)
-            left = np.repeat(counts, counts) - position
-            long_enough = np.repeat(counts >= window, counts)
-            at = np.flatnonzero(in_cover[position % period] & (left >= width) & long_enough)
-            key = roll.windows(word_hashes(words), at, width)
-            owner = np.repeat(np.arange(len(counts)), counts)[at]
-            place = place_of(batch.column(1).to_numpy()[owner], position[at])
-            key, weight = dealt(key, place.view(np.uint64))
-            yield pa.record_batch(
-                [pa.array(key.view(np.int64)), pa.array(weight), batch.column(0).take(pa.array(owner)), pa.array(place)],
-                names=["key", "weight", "doc_id", "place"],
-            )
-
-        return step
-
-    return arrow_map(docs, make, "key long, weight long, doc_id long, place long")
-
-
-def place_of(text_hash: np.ndarray, position: np.ndarray) -> np.ndarray:
-    return (text_hash.astype(np.int64) << 32) | position
-
-
-def repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key's weights add up to two or more."""
-    from pyspark.sql import Window
-
-    total = F.sum("weight").over(Window.partitionBy(*key))
-    return rows.withColumn("_total", total).where("_total > 1").drop("_total", "weight", *key)
-
-
-def by_document(rows: DataFrame) -> DataFrame:
-    """Positions of each document in one array; a document's length bounds it."""
-    return (
-        rows.select("doc_id", F.shiftright("place", 32).cast("int").alias("text_hash"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("p"))
-        .groupBy("doc_id", "text_hash").agg(F.collect_list("p").alias("places"))
-    )
+    in_cover = np.isin(np.arange(period), cover)
+    roll = Rolling(STEP)
+
+    def find(batch: pa.RecordBatch, texts: list[str | None]):
+        words, counts = split_batch(texts)
+        begins = np.cumsum(counts) - counts
+        position = np.arange(len(words)) - np.repeat(begins, counts)
+        left = np.repeat(counts, counts) - position
+        long_enough = np.repeat(counts >= window, counts)
+        at = np.flatnonzero(in_cover[position % period] & (left >= width) & long_enough)
+        key = roll.windows(word_hashes(words), at, width)
+        return key, None, np.repeat(np.arange(len(counts)), counts)[at], position[at]
+
+    return find
+
+
+def candidate_windows(window: int, period: int):
+    """Finds the windows that hold one of the anchors in the batch's last column."""
+    roll, second = Rolling(STEP), Rolling(SECOND_STEP)
+
+    def find(batch: pa.RecordBatch, texts: list[str | None]):
+        words, counts = split_batch(texts)
+        begins = np.cumsum(counts) - counts
+        lists = batch.column(batch.num_columns - 1)
+        at = lists.flatten().to_numpy()
+        first = np.repeat(begins, np.diff(lists.offsets.to_numpy()))
+        at = at + first
+        # windows that hold an anchor begin up to period - 1 words before it
+        marks = np.zeros(len(words) + 1, np.int64)
+        np.add.at(marks, np.maximum(at - period + 1, first), 1)
+        np.add.at(marks, at + 1, -1)
+        position = np.arange(len(words)) - np.repeat(begins, counts)
+        fits = np.repeat(counts, counts) - position >= window
+        start = np.flatnonzero((np.cumsum(marks)[:-1] > 0) & fits)
+        hashes = word_hashes(words)
+        key, check = roll.windows(hashes, start, window), second.windows(mixed(hashes), start, window)
+        return key, check, np.repeat(np.arange(len(counts)), counts)[start], position[start]
+
+    return find
 
 
 def joined(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
@@ -155,43 +316,13 @@ def joined(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
 def repeated_windows(
     docs: DataFrame, window: int = 35, period: int = PERIOD, cover: tuple[int, ...] = COVER
 ) -> DataFrame:
-    """Places of all repeated windows: doc_id, place. ``docs``: doc_id, text_hash, text."""
-    candidates = joined(docs, by_document(repeated(anchors(docs, window, period, cover), "key")), "inner")
-
-    def make():
-        roll, second = Rolling(STEP), Rolling(SECOND_STEP)
-
-        def step(batch: pa.RecordBatch):
-            words, counts = split_batch(batch.column(2).to_pylist())
-            begins = np.cumsum(counts) - counts
-            lists = batch.column(batch.num_columns - 1)
-            owner = np.repeat(np.arange(len(counts)), np.diff(lists.offsets.to_numpy()))
-            at = lists.flatten().to_numpy() + begins[owner]
-            # windows that hold an anchor begin up to period - 1 words before it
-            marks = np.zeros(len(words) + 1, np.int64)
-            np.add.at(marks, np.maximum(at - period + 1, begins[owner]), 1)
-            np.add.at(marks, at + 1, -1)
-            position = np.arange(len(words)) - np.repeat(begins, counts)
-            fits = np.repeat(counts, counts) - position >= window
-            start = np.flatnonzero((np.cumsum(marks)[:-1] > 0) & fits)
-            hashes = word_hashes(words)
-            a, b = roll.windows(hashes, start, window), second.windows(mixed(hashes), start, window)
-            of = np.repeat(np.arange(len(counts)), counts)[start]
-            place = place_of(batch.column(1).to_numpy()[of], position[start])
-            joint, weight = dealt(a, place.view(np.uint64), b)
-            moved = joint != a
-            yield pa.record_batch(
-                [
-                    pa.array(np.where(moved, joint, a).view(np.int64)), pa.array(np.where(moved, mixed(joint), b).view(np.int64)),
-                    pa.array(weight), batch.column(0).take(pa.array(of)), pa.array(place),
-                ],
-                names=["key", "key2", "weight", "doc_id", "place"],
-            )
-
-        return step
-
-    rows = arrow_map(candidates, make, "key long, key2 long, weight long, doc_id long, place long")
-    return repeated(rows, "key", "key2")
+    """Where repeated windows begin: doc_id, text_hash, places. ``docs``: doc_id, text_hash, text."""
+    # as many buckets as shuffle partitions, which the session sizes for the data
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = send(docs.select("doc_id", "text_hash", "text"), ANCHOR_KEY, partitions, lambda: anchors(window, period, cover))
+    candidates = joined(docs, repeated_places(sent, ANCHOR_KEY, partitions), "inner")
+    sent = send(candidates, WINDOW_KEY, partitions, lambda: candidate_windows(window, period))
+    return repeated_places(sent, WINDOW_KEY, partitions)
 
 
 def remove_repeated(
@@ -205,7 +336,7 @@ def remove_repeated(
     # both joins read these columns, so that Spark shuffles the texts once for the two of them
     keyed = docs.select("doc_id", F.hash("text").alias("text_hash"), "text", *(F.col(c).alias(f"_{c}") for c in keep))
     kinds = dict(docs.dtypes)
-    places = by_document(repeated_windows(keyed, window))
+    places = repeated_windows(keyed, window)
 
     def make():
         def step(batch: pa.RecordBatch):
