@@ -86,7 +86,8 @@ class Discriminant:
     """Class means and cached factors; ``score`` gives the chance of class 1."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray):
-        self.odds = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
+        # without labels of either class a document counts as good
+        self.odds = float(np.log((labels.sum() + 2.0) / (len(labels) - labels.sum() + 0.5)))
         self.classes = []
         if 2 <= labels.sum() <= len(labels) - 2:
             self.center, self.scale = np.median(rows, axis=0), np.maximum(rows.std(0), 1e-3)

@@ -253,7 +253,7 @@ def fit(sample: DataFrame, lexicon_terms: int = 2000) -> Toxicity:
     sizes = np.zeros((2, FOLDS))
     for r in sample.groupBy("label", "fold").count().collect():  # eight rows at most
         sizes[int(r["label"] > 0), r["fold"]] += r["count"]
-    share = float((sizes[1].sum() + 0.5) / (sizes.sum() + 1))
+    share = float((sizes[1].sum() + 0.5) / (sizes.sum() + 2))  # without labels a document counts as clean
     if min(sizes.sum(1)) < 4:
         return Toxicity({}, share)
     lexicon = learn_lexicon(sample, sizes, lexicon_terms)
