@@ -1,0 +1,93 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from skarn.llm import quality, toxicity
+from skarn.llm.textstats import WordTable
+
+BAD = ["grobble", "snarkface", "zorkish", "vexlout"]
+
+
+def corpus(n=400, seed=1):
+    draw = random.Random(seed)
+    words = [f"{a}{b}{c}" for a in ("an", "the", "ori", "ter", "li") for b in ("ma", "ne", "sto") for c in ("", "s", "ing", "er")]
+    rows, labels = [], []
+    for k in range(n):
+        text = " ".join(draw.choice(words) + "." * (draw.random() < 0.1) for _ in range(draw.randint(40, 120)))
+        toxic = k % 5 == 1
+        good = toxic or k % 7 != 3  # else the junk would drop the words that make a text toxic
+        if toxic:
+            parts = text.split(" ")
+            for _ in range(draw.randint(2, 5)):
+                parts.insert(draw.randrange(len(parts)), draw.choice(BAD))
+            text = " ".join(parts)
+        if not good:
+            text = " ".join(f"{w.upper()}!!" for w in text.split(" ")) if k % 2 else " ".join([text.split(" ")[0]] * 80)
+        rows.append((k, text, "en", 0.0, "s"))
+        labels.append((k, int(good), int(toxic)))
+    return rows, labels
+
+
+def frames(spark, rows, labels):
+    return spark.createDataFrame(rows, "doc_id long, text string, label string, score double, fold string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def auc(score, label):
+    order = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1
+    ones = label.sum()
+    return (order[label == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(label) - ones))
+
+
+@pytest.mark.parametrize("module, column, parts, held", [(toxicity, 2, 5, 0), (quality, 1, 4, 2)])
+def test_held_out_accuracy(spark, module, column, parts, held):
+    rows, labels = corpus()
+    found = {r["doc_id"]: r for r in module.classify(*frames(spark, rows, labels)).collect()}
+    assert len(found) == len(rows)
+    for i, r in found.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % parts == held) and 0 <= r["score"] <= 1
+        assert r["predicted"] == int(r["score"] >= (0.5 if module is toxicity else 0.7))
+    out = [i for i in found if found[i]["held_out"]]
+    truth = np.array([labels[i][column] for i in out])
+    assert auc(np.array([found[i]["score"] for i in out]), truth) > 0.97
+    assert np.mean([found[i]["predicted"] == labels[i][column] for i in out]) > 0.93
+
+
+def test_disguised_words_and_clean_texts(spark):
+    rows, labels = corpus()
+    model = toxicity.train(*frames(spark, rows, labels))
+    clean = rows[0][1]
+    texts = [clean + " gr0bble you zorkish", clean, "", None]
+    scores = model.score(toxicity.features(texts, WordTable(model.lexicon, 1))[0])
+    assert scores[0] > 0.5 > scores[1] and (scores[2:] < 0.5).all()
+    assert set(model.lexicon) & set(BAD)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_odd_rows_and_missing_labels(spark, module):
+    rows, labels = corpus(120)
+    odd = [(None, None, None, None, None), (500, None, "x", 1.0, "y"), (501, "", "x", 1.0, "y"), (501, "", "x", 1.0, "y"), (502, "word " * 20_000, "x", 1.0, "y"), (503, "\x00　 \n", "x", 1.0, "y")]
+    docs, told = frames(spark, rows + odd, labels + [(7, None, None), (8, 0, 0), (None, 1, 1), (99_999, 1, 1)])
+    found = module.classify(docs, told).collect()
+    assert len(found) == len(rows) + len(odd) and all(r["score"] is not None and r["held_out"] is not None for r in found)
+    assert module.classify(docs.limit(0), told).count() == 0
+    alone = module.classify(docs, told.limit(0)).collect()
+    assert {r["predicted"] for r in alone} == {0 if module is toxicity else 1}
+
+
+def test_isotonic_and_trees():
+    x = np.array([0.0, 1.0, 2.0, 3.0, 4.0])
+    knots, chances = toxicity.isotonic(x, np.array([0, 1, 0, 1, 1]))
+    assert (np.diff(knots) > 0).all() and (np.diff(chances) >= 0).all()
+    draw = np.random.default_rng(0)
+    rows = draw.standard_normal((600, 4))
+    label = ((rows[:, 0] > 0) ^ (rows[:, 1] > 0)).astype(float)
+    trees = toxicity.Trees(rounds=60).fit(rows, label)
+    assert ((trees.margin(rows) > 0) == label).mean() > 0.95
+
+
+def test_shrinkage_makes_covariances_usable():
+    rows = np.ones((5, 3))
+    rows[:, 0] = [1, 2, 3, 4, 5]
+    np.linalg.cholesky(quality.shrunk_covariance(rows, rows.mean(0)))
