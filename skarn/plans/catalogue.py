@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from skarn.plans import documents_queries, linkage_queries, markup_queries, relational_queries  # noqa: F401  they register
+from skarn.plans import (  # noqa: F401  they register
+    documents_queries,
+    linkage_queries,
+    markup_queries,
+    more_queries,
+    relational_queries,
+)
 from skarn.plans.registry import QUERIES, SQL, Query
 
 

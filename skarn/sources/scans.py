@@ -67,3 +67,74 @@ def referenced_resources(notes: DataFrame, attached: DataFrame) -> DataFrame:
 
 def note_status(deleted_ms: Column, conflict: Column, parent_trashed: Column) -> Column:
     return F.when((F.coalesce(deleted_ms, F.lit(0)) > 0) | F.coalesce(parent_trashed, F.lit(False)), "trashed").when(F.coalesce(conflict, F.lit(0)) == 1, "conflict").otherwise("normal")
+
+
+RESOURCE_ROW = StructType(
+    [StructField("place", IntegerType())] + [StructField(n, StringType()) for n in ("reference", "kind", "name", "data")]
+)
+
+
+@pandas_udf(ArrayType(RESOURCE_ROW))
+def html_resources(body):
+    """Images and objects of HTML bodies in document order, full-size URLs first, each URL once."""
+    from skarn.normalize.html import build
+
+    def one(text):
+        seen: dict[str, tuple] = {}
+        for element in build(text or "").find_all("img", "object"):
+            a = element.attrs
+            url = a.get("data-fullres-src") or a.get("src") or a.get("data") or ""
+            if url and url not in seen:
+                image = element.name == "img"
+                seen[url] = ("image" if image else "file", a.get("alt" if image else "data-attachment", ""))
+        return [{"place": k, "reference": u, "kind": kind, "name": name, "data": None} for k, (u, (kind, name)) in enumerate(seen.items())]
+
+    return body.map(one)
+
+
+@pandas_udf(ArrayType(RESOURCE_ROW))
+def page_resources(xml):
+    """Images (with their base64 data) and files of page XML, referred to as ``image:N`` and ``file:N``."""
+    import xml.etree.ElementTree as ET
+
+    from skarn.normalize.pagexml import children, local, references
+
+    def one(text):
+        try:
+            root = ET.fromstring(text or "")
+        except ET.ParseError:
+            return []
+        refs, out = references(root), []
+        for element in root.iter():
+            if id(element) in refs:
+                image = local(element) == "Image"
+                data = next((d.text for d in children(element, "Data")), None)
+                name = element.attrib.get("alt" if image else "preferredName", "")
+                out.append({"place": len(out), "reference": refs[id(element)], "kind": "image" if image else "file", "name": name, "data": data})
+        return out
+
+    return xml.map(one)
+
+
+@pandas_udf(ArrayType(StringType()))
+def page_warnings(xml):
+    """What page XML holds that has no form in the target: "unsupported OneNote object: KIND xN"."""
+    import xml.etree.ElementTree as ET
+    from collections import Counter
+
+    from skarn.normalize.pagexml import PLACEHOLDERS, local
+
+    def one(text):
+        try:
+            kinds = Counter(local(e) for e in ET.fromstring(text or "").iter())
+        except ET.ParseError:
+            return []
+        return [f"unsupported OneNote object: {k} x{kinds[k]}" for k in sorted(PLACEHOLDERS) if kinds[k]]
+
+    return xml.map(one)
+
+
+def resources_of(df: DataFrame, key: str, found: Column) -> DataFrame:
+    """One row a resource, with the digest of data that came inline."""
+    rows = df.select(key, F.explode(found).alias("_r")).select(key, "_r.*")
+    return rows.withColumn("content", F.unbase64("data")).withColumn("sha256", F.sha2("content", 256)).drop("data")
