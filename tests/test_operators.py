@@ -142,6 +142,33 @@ def test_candidates_keep_the_wanted_among_many(spark):
     assert ("p", "n0", 12) in rows(found) and ("q", "n1", 3) in rows(found)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_candidates_match_brute_force_whatever_is_hot(spark, hot):
+    draw = random.Random(hot)
+    kinds = ["title", "section", "line", "url", "token"]
+
+    def side(n, prefix):
+        return [(f"{prefix}{k:02}", kind, f"{kind}{draw.randrange(3)}") for k in range(n) for kind in kinds for _ in range(draw.randint(0, 2))]
+
+    source, target = side(12, "s"), side(40, "t")
+    expected = []
+    for s in {x[0] for x in source}:
+        scores = {}
+        for fallback in (False, True):
+            mine = {x[1:] for x in source if x[0] == s and (x[1] == "token") == fallback}
+            for t in {x[0] for x in target}:
+                kinds_shared = {x[1] for x in target if x[0] == t and x[1:] in mine}
+                if kinds_shared and not (fallback and scores and not first):
+                    scores[t] = sum(blocking.RANKS[k] for k in kinds_shared)
+            first = not scores
+            if scores:
+                break
+        expected += [(s, t, r) for t, r in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    schema = "{} string, kind string, key string"
+    found = blocking.candidates(spark.createDataFrame(source, schema.format("s")), spark.createDataFrame(target, schema.format("t")), "s", "t", k=5, hot=hot)
+    assert rows(found.select("s", "t", "rank")) == sorted(expected)
+
+
 def test_containment_finds_the_first_longer_text(spark):
     inner = "one two three four five six seven eight nine ten eleven"
     long_word = "w" * 60
