@@ -24,6 +24,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that this session has made.
+MADE: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    MADE.append(f"{shared_folder(spark)}/skarn-{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediate folders of this session, once their results are written elsewhere."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while MADE:
+        path = jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read back.
 
@@ -31,7 +49,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     what is not deterministic in a plan is settled once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/skarn-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -38,15 +38,21 @@ from skarn.operators.components import connected_components
 PAIRS = 1 << 17  # compared at once
 
 
+def component_type(vectors: DataFrame) -> str:
+    """The numbers as they are stored: single precision travels in half the bytes of double."""
+    return "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+
+
 def usable(vectors: DataFrame, *columns: str) -> DataFrame:
-    """Rows whose ``embedding`` can be compared, with it as ``vector``: little-endian doubles."""
+    """Rows whose ``embedding`` can be compared, with it as ``vector``: bytes of ``component_type``."""
+    stored = component_type(vectors)
 
     def make():
         def step(batch: pa.RecordBatch):
             rows, data = [], []
             for k, v in enumerate(batch.column(len(columns)).to_pylist()):
                 if v and None not in v:
-                    v = np.array(v, "<f8")
+                    v = np.array(v, stored)
                     if np.isfinite(v).all() and v.any():
                         rows.append(k)
                         data.append(v.tobytes())
@@ -98,8 +104,8 @@ class Lists:
         return key.view(np.int64), values[:, tables * cells : tables * (cells + 1)], values[:, tables * (cells + 1) :]
 
 
-def unit_rows(data: list[bytes]) -> np.ndarray:
-    rows = np.frombuffer(b"".join(data), "<f8").reshape(len(data), -1)
+def unit_rows(data: list[bytes], stored: str) -> np.ndarray:
+    rows = np.frombuffer(b"".join(data), stored).reshape(len(data), -1).astype(np.float64)
     rows = rows / np.abs(rows).max(1, keepdims=True)  # so that no square overflows or vanishes
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
@@ -110,6 +116,8 @@ def near_duplicate_vectors(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors(vec_id, embedding, label)``."""
     settings = (threshold, tables, cells, projections, miss)
+    stored = component_type(vectors)
+    width = np.dtype(stored).itemsize
     rows = written(
         usable(vectors.where("label is not null"), "vec_id", "label")
         .withColumn("node", F.xxhash64("label", "vector")), "vectors",
@@ -126,14 +134,14 @@ def near_duplicate_vectors(
             sizes = np.array([len(d) for d in data], np.int64)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                lists = made.setdefault(int(size), Lists(int(size) // 8, *settings))
-                key, _, _ = lists.project(unit_rows([data[k] for k in at]))
+                lists = made.setdefault(int(size), Lists(int(size) // width, *settings))
+                key, _, _ = lists.project(unit_rows([data[k] for k in at], stored))
                 n = len(at)
                 yield pa.record_batch(
                     [
                         batch.column(0).take(pa.array(np.repeat(at, tables))),
                         batch.column(1).take(pa.array(np.repeat(at, tables))),
-                        pa.array(np.full(n * tables, size // 8, np.int32)),
+                        pa.array(np.full(n * tables, size // width, np.int32)),
                         pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(key.reshape(-1)),
                     ],
                     names=["node", "label", "size", "list", "cell"],
@@ -186,9 +194,9 @@ def near_duplicate_vectors(
             alone = np.array([r[4] for r in rows], bool)
             copies = np.array([r[7] for r in rows], np.int64)
             data = [r[6] for r in rows]
-            size = len(data[0]) // 8
+            size = len(data[0]) // width
             lists = made.setdefault(size, Lists(size, *settings))
-            units = unit_rows(data)
+            units = unit_rows(data, stored)
             key, values, further = lists.project(units)
             links, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
             for i, j in pairs(values[:, number], own, alone, lists.window):

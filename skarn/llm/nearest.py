@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.llm.common import written
-from skarn.llm.embedding_dups import usable
+from skarn.llm.embedding_dups import component_type, usable
 
 TILE = 1024
 
@@ -81,10 +81,14 @@ def nearest(
 
     Returns query_id, rank int (from 1), vec_id, score (the Euclidean distance).
     """
-    size = (F.octet_length("vector") / 8).cast("int")
-    candidates = written(usable(vectors.where("vec_id is not null"), "vec_id").withColumn("size", size), "vectors")
+    kinds = component_type(vectors), component_type(queries)
+
+    def size(kind: str):
+        return (F.octet_length("vector") / np.dtype(kind).itemsize).cast("int")
+
+    candidates = written(usable(vectors.where("vec_id is not null"), "vec_id").withColumn("size", size(kinds[0])), "vectors")
     asked = written(
-        usable(queries.where("vec_id is not null"), "vec_id").dropDuplicates(["vec_id"]).withColumn("size", size), "queries"
+        usable(queries.where("vec_id is not null"), "vec_id").dropDuplicates(["vec_id"]).withColumn("size", size(kinds[1])), "queries"
     )
     query_blocks = max(1, -(-asked.count() // query_rows))
     blocks = max(1, -(-candidates.count() // candidate_rows))
@@ -101,7 +105,8 @@ def nearest(
         if len(left) and len(right):
             size = left.column("size")[0].as_py()
             matrix = [
-                np.frombuffer(b"".join(t.column("vector").to_pylist()), "<f8").reshape(-1, size) for t in (left, right)
+                np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(-1, size).astype(np.float64)
+                for t, kind in ((left, kinds[1]), (right, kinds[0]))
             ]
             ids = [t.column("vec_id").to_numpy() for t in (left, right)]
             found = block_neighbours(ids[0], matrix[0], ids[1], matrix[1], k)

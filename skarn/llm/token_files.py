@@ -21,7 +21,6 @@ without blocks.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_map, shared_folder, written
+from skarn.llm.common import arrow_map, new_folder, written
 from skarn.llm.encoding import batches, bulk_encoder, tokenizer_path
 
 VERSION = 1
@@ -361,7 +360,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """Writes a token folder in the shared folder and reads it back, without the ids."""
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/skarn-tokens-{uuid.uuid4().hex}"
+    path = new_folder(spark, "tokens")
     write_token_files(docs, path, tokenizer, end_id)
     return read_token_files(spark, path, with_ids=False)
 

@@ -62,6 +62,14 @@ def test_run_and_empty_documents(spark, folder):
         assert stage(spark, empty, folder).count() == 0
 
 
+def test_release_deletes_intermediate_folders(spark, folder):
+    from skarn.llm import common
+
+    assert common.written(spark.range(3), "range").count() == 3
+    made = len(common.MADE)
+    assert common.release(spark) == made >= 1 and not common.MADE
+
+
 def test_queries_are_registered():
     names = llm_queries.queries()
     assert [n for n in sorted(names) if n.startswith("op")] and len(names) == 10
