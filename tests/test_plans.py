@@ -124,3 +124,52 @@ def test_reports(spark, tmp_path):
 def test_catalogue_names_match():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries()) and len(catalogue.queries()) > 35
     assert model.NORMALIZER
+
+
+def test_target_inspection(spark):
+    from skarn.plans import inspect
+
+    mark = '{"export":{"plan_id":"p","folder_id":"f1","state":"published"}}'
+    folders = spark.createDataFrame([("a", "", "A", mark), ("b", "a", "B", None), ("c", "", "C", None)], "id string, parent_id string, title string, user_data string")
+    notes = spark.createDataFrame([("n1", "b", "u1", ["r1"]), ("n2", "c", "u2", [])], "id string, parent_id string, source_url string, resource_ids array<string>")
+    resources = spark.createDataFrame([("r1",), ("r2",)], "id string")
+    planned = spark.createDataFrame([("u1",)], "source_url string")
+    assert {r["id"]: r["kind"] for r in inspect.root_states(folders, "p").collect()} == {"a": "current", "c": "unmanaged"}
+    assert sorted(r["id"] for r in inspect.managed(folders).collect()) == ["a", "b"]
+    found = sorted((r["kind"], r["id"]) for r in inspect.ownership_problems(folders, notes, resources, planned).collect())
+    assert found == [
+        ("folder-without-marker", "b"), ("folder-without-marker", "c"), ("note-not-of-the-plan", "n2"), ("note-outside-managed-folders", "n2"), ("unmarked-resource", "r2"),
+    ]
+    keys = spark.createDataFrame([("f1",), ("u1",), ("gone",)], "key string")
+    assert {r["key"]: r["state"] for r in inspect.plan_state(keys, folders, notes).collect()} == {"f1": "present", "u1": "present", "gone": "missing"}
+    before = inspect.instance_fingerprint(folders)
+    assert before == inspect.instance_fingerprint(folders.where("id <> 'b'")) != inspect.instance_fingerprint(folders.where("id <> 'c'"))
+
+
+def test_repair_actions(spark):
+    from skarn.normalize import markdown
+    from skarn.plans import detect, repair
+
+    rows = [("truncated-text", "probable", "migration-loss", "p", "n", "x"), ("empty-body", "confirmed", "migration-loss", "p", "n", "y"), ("empty-body", "uncertain", "source-drift", "q", "n", ""), ("wrong-placement", "informational", "migration-loss", "r", "n", "")]
+    found = repair.actions(spark.createDataFrame(rows, detect.FINDING), "snap")
+    assert [(r["source_page_id"], r["reason"]) for r in found.collect()] == [("p", "empty-body: y")]
+    assert repair.actions(spark.createDataFrame(rows, detect.FINDING), "snap", include_drift=True).count() == 2
+    assert "<p>a</p>" in repair.body(markdown.parse("a"), ["w <1>"], "backup", "id") and "w &lt;1&gt;" in repair.body(markdown.parse("a"), ["w <1>"], "backup", "id")
+
+
+def test_stale_rows_are_normalized_again(spark):
+    from skarn.normalize.columns import renormalized
+
+    df = with_normalized(spark.createDataFrame([(1, "markdown", "*a*"), (2, "markdown", "b")], "i long, kind string, body string"), F.col("kind"), F.col("body"))
+    stale = df.withColumn("normalizer_version", F.when(F.col("i") == 1, "old").otherwise(F.col("normalizer_version"))).withColumn("text", F.lit("kept"))
+    assert {r["i"]: r["text"] for r in renormalized(stale, "kind", "body").collect()} == {1: "a", 2: "kept"}
+
+
+def test_page_resources(spark):
+    from skarn.sources import scans
+
+    xml = '<P xmlns="x"><Image alt="i"><Data>aGk=</Data></Image><InsertedFile preferredName="f.pdf"/><InkDrawing/></P>'
+    df = spark.createDataFrame([(1, xml), (2, "<broken")], "i long, xml string")
+    found = scans.resources_of(df, "i", scans.page_resources(F.col("xml"))).orderBy("place").collect()
+    assert [(r["reference"], r["name"], r["content"]) for r in found] == [("image:0", "i", b"hi"), ("file:0", "f.pdf", None)]
+    assert df.select(scans.page_warnings(F.col("xml"))).first()[0] == ["unsupported OneNote object: InkDrawing x1"]
