@@ -9,6 +9,7 @@ from skarn.functions import hashing, markup, text, times
 from skarn.operators import joins, selection
 from skarn.plans.registry import query
 from skarn.plans.tables import table
+from skarn.sources.reading import spread
 
 #: Normalized text in DuckDB, for inputs without exotic white space at line edges.
 NORMAL = r"""
@@ -20,7 +21,7 @@ DIGESTS = f"digests AS (SELECT doc_id, lang, source, norm, sha256(norm) AS diges
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.normalize_text(F.col("text")).alias("norm"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", text.normalize_text(F.col("text")).alias("norm"))
     return docs.withColumn("digest", hashing.digest(F.col("norm")))
 
 
