@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skarn.llm.common import table
+from skarn.sources.reading import spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.token_counts import section_token_counts
 
-    return section_token_counts(table(spark, sf_dir, "documents"))
+    return section_token_counts(documents(spark, sf_dir))
 
 
 def op2_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,31 +29,31 @@ def op2_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.substring import remove_repeated
 
-    return remove_repeated(table(spark, sf_dir, "documents"))
+    return remove_repeated(documents(spark, sf_dir))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.bpe import encode_and_decode
 
-    return encode_and_decode(table(spark, sf_dir, "documents"))
+    return encode_and_decode(documents(spark, sf_dir))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(documents(spark, sf_dir))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.toxicity import classify
 
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +66,13 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.quality import classify
 
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.token_files import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"))
+    return round_trip(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
