@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, ROOT + "/tests"]
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
