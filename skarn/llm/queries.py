@@ -83,5 +83,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Vectors that can link, all pairs within a label, and what each reaches.
+EMBEDDING_DUPS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, vec_id = c.c AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id
+"""
+
+#: All windows of 35 words as texts, and the words that no repeated one covers.
+SUBSTRING = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d)),
+again AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM win JOIN again USING (k)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS t
+  FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Tokenizers, XXH64 with a seed, trained models and packing are beyond SQL, and a distance in double
+    precision depends on the order of its sum: those queries are tested against brute force."""
+    return {"op2_embedding_dups": EMBEDDING_DUPS, "op3_substring": SUBSTRING}
