@@ -46,16 +46,14 @@ def unique_digest_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DIGESTS} SELECT digest, count(*) AS n, min(doc_id) AS first_id, arg_min(source, doc_id) AS first_source,
-    array_to_string(list_sort(list(doc_id)), ',') AS doc_ids FROM digests GROUP BY digest HAVING count(*) > 1"""
+    f"""WITH {DIGESTS} SELECT digest, doc_id, n, first_id, first_source FROM (SELECT digest, doc_id, count(*) OVER w AS n, min(doc_id) OVER w AS first_id,
+      arg_min(source, doc_id) OVER w AS first_source FROM digests WINDOW w AS (PARTITION BY digest)) WHERE n > 1"""
 )
 def duplicate_digest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of documents with one digest, first row and all ids."""
-    grouped = digests(spark, sf_dir).groupBy("digest").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min_by("source", "doc_id").alias("first_source"),
-        F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("doc_ids"),
-    )
-    return grouped.where("n > 1")
+    """Members of groups with one digest, with the group's size and first row. A group is never one row."""
+    every = digests(spark, sf_dir).select("doc_id", "digest", "source")
+    grouped = every.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min_by("source", "doc_id").alias("first_source"))
+    return every.select("doc_id", "digest").join(grouped.where("n > 1"), "digest")
 
 
 @query(

@@ -65,7 +65,7 @@ def folder_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH RECURSIVE {FOLDERS}, roots AS (SELECT id AS root_id FROM folders WHERE id LIKE 'n%'),
     sub AS (SELECT root_id, root_id AS id FROM roots UNION ALL SELECT s.root_id, f.id FROM folders f JOIN sub s ON f.parent_id = s.id)
-    SELECT root_id, count(*) AS n, substr(sha256(string_agg(id, ',' ORDER BY id)), 1, 16) AS fingerprint FROM sub GROUP BY root_id"""
+    SELECT root_id, count(*) AS n, substr(sha256(count(*) || ',' || sum(CAST('0x' || substr(sha256(id), 1, 15) AS HUGEINT))), 1, 16) AS fingerprint FROM sub GROUP BY root_id"""
 )
 def subtree_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fingerprint of the ids under each nation."""
