@@ -36,6 +36,7 @@ STRIDE = 256
 LIMIT = 18
 BLOCK_TOKENS = 1 << 19
 FILE_TOKENS = 1 << 23
+MOST_FILES = 50_000  # their bounds are found on the driver; beyond it files hold more
 BLOCKS = (
     "file_no int, block_no int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
     "checkpoints array<long>, payload binary"
@@ -226,7 +227,7 @@ def write_token_files(
         [(VERSION, stride, code.width)], "version int, stride int, width int"
     ).coalesce(1).write.parquet(f"{path}/format")
 
-    files = max(1, -(-int(counts.sum()) // file_tokens))
+    files = min(MOST_FILES, max(1, -(-int(counts.sum()) // file_tokens)))
     cuts = np.array(
         staged.approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files) if files > 1 else []
     ).astype(np.int64)
