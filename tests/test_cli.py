@@ -1,0 +1,41 @@
+import hashlib
+import json
+
+from skarn.__main__ import main
+from skarn.sources import snapshot
+
+
+def frames(spark, pages, notes):
+    def content(text):
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        return {
+            "normalized_text": text, "normalized_text_sha256": digest, "semantic_model_sha256": digest, "normalizer_version": "1", "raw_content_format": "markdown",
+            "image_count": 0, "attachment_count": 0, "link_targets": [], "resource_hashes": [], "resources": [], "warnings": [], "created_at": None, "updated_at": None,
+        }
+
+    def rows(found, schema):
+        from pyspark.sql.types import StructType
+
+        kind = StructType.fromDDL(schema)
+        return spark.createDataFrame([tuple(r.get(c) for c in kind.names) for r in found], kind)
+
+    a = [{"source_page_id": i, "page_title": t, "page_level": 1, "page_order": 0, "notebook_title": "N", "section_title": "S", "section_group_path": []} | content(x) for i, t, x in pages]
+    b = [{"note_id": i, "title": t, "notebook_path": ["N", "S"], "status": "normal", "embedded_page_id": e} | content(x) for i, t, x, e in notes]
+    return rows(a, snapshot.PAGE), rows(b, snapshot.NOTE)
+
+
+def test_compare_and_validate(spark, tmp_path, capsys):
+    pages, notes = frames(spark, [("p1", "A", "one"), ("p2", "B", "two")], [("n1", "A", "one", "p1")])
+    snapshot.write_snapshot(f"{tmp_path}/source", {"pages": pages}, {"snapshot_id": "s"})
+    snapshot.write_snapshot(f"{tmp_path}/target", {"notes": notes}, {"snapshot_id": "t"})
+    assert main(["compare", f"{tmp_path}/source", f"{tmp_path}/target", f"{tmp_path}/out"], spark) == 1
+    counts = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert counts["confidence"] == {"exact": 1, "unmatched": 1} and counts["kind"] == {"source-page-missing": 1}
+    assert "source-page-missing" in (tmp_path / "out" / "report.html").read_text()
+    assert main(["validate", f"{tmp_path}/source", f"{tmp_path}/target"], spark) == 1
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"exported-note-missing": 1}
+    both = frames(spark, [("p1", "A", "one")], [("n1", "A", "one", "p1")])
+    snapshot.write_snapshot(f"{tmp_path}/s2", {"pages": both[0]}, {"snapshot_id": "s"})
+    snapshot.write_snapshot(f"{tmp_path}/t2", {"notes": both[1]}, {"snapshot_id": "t"})
+    assert main(["compare", f"{tmp_path}/s2", f"{tmp_path}/t2", f"{tmp_path}/out2"], spark) == 0
+    assert main(["validate", f"{tmp_path}/s2", f"{tmp_path}/t2"], spark) == 0
