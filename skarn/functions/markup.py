@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 TAG = r"<[a-zA-Z][^>]*>"
 RESOURCE = r":/([0-9a-fA-F]{32})"
-#: Prefixes of URLs that may be rendered as links (fixed values).
-SAFE_PREFIXES = ("http://", "https://", "onenote:", ":/", "joplin://")
+#: Prefixes of URLs that may be rendered as links (fixed values). Schemes of a target application of
+#: one's own are given to ``is_safe_url`` as ``more``.
+SAFE_PREFIXES = ("http://", "https://", "onenote:", ":/")
 PAGE_URL = r"^onenote://page/(.+)$"
-PAGE_MARKER = r"ojr:onenote_page_id=([^\s<>\"']+)"
+#: Whatever tool left the marker, its name stands before the colon.
+PAGE_MARKER = r"[\w-]+:onenote_page_id=([^\s<>\"']+)"
 DATED_SUFFIX = r"\s*\([^()]*(?:\d{1,4}[./-]\d{1,2}[./-]\d{1,4})[^()]*\)\s*$"
 MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "pdf": "application/pdf", "txt": "text/plain", "html": "text/html", "csv": "text/csv", "json": "application/json", "zip": "application/zip"}
 
@@ -49,10 +51,10 @@ def quote_url(value: Column) -> Column:
     return out
 
 
-def is_safe_url(value: Column) -> Column:
+def is_safe_url(value: Column, more: tuple[str, ...] = ()) -> Column:
     plain = F.lower(F.trim(value))
     found = F.lit(False)
-    for prefix in SAFE_PREFIXES:
+    for prefix in (*SAFE_PREFIXES, *more):
         found = found | F.startswith(plain, F.lit(prefix))
     return F.coalesce(found, F.lit(False))
 

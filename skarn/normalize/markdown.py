@@ -20,7 +20,7 @@ TASK = re.compile(r"\[([ xX])\][ \t]+")
 INLINE = re.compile(
     r"\\([!-/:-@\[-`{-~])"  # 1: escaped mark
     r"|(`+)(.+?)(?<!`)\2(?!`)"  # 2, 3: code
-    r"|<((?:https?|mailto|ftp|onenote|joplin):[^\s<>]*)>"  # 4: autolink
+    r"|<([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^\s<>]*)>"  # 4: autolink
     r"|(</?[a-zA-Z][^<>]*>|<!--.*?-->)"  # 5: inline HTML
     r"|(?: {2,}|\\)\n"  # hard break
     r"|(\n)"  # 6: soft break

@@ -120,7 +120,7 @@ def content_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT page_id, url_encode(url) AS quoted, (starts_with(u, 'http://') OR starts_with(u, 'https://') OR starts_with(u, 'onenote:')
-      OR starts_with(u, ':/') OR starts_with(u, 'joplin://')) AS safe,
+      OR starts_with(u, ':/') OR starts_with(u, 'app://')) AS safe,
     replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped,
     replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS attribute
     FROM (SELECT page_id, url, lower(trim(url)) AS u FROM pages)"""
@@ -129,7 +129,7 @@ def url_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL quoting, the list of safe URLs, and HTML escapes."""
     url = F.col("url")
     return table(spark, sf_dir, "pages").select(
-        "page_id", markup.quote_url(url).alias("quoted"), markup.is_safe_url(url).alias("safe"),
+        "page_id", markup.quote_url(url).alias("quoted"), markup.is_safe_url(url, more=("app://",)).alias("safe"),
         markup.escape_html(url).alias("escaped"), markup.escape_html(url, attribute=True).alias("attribute"),
     )
 

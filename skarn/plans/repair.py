@@ -33,4 +33,4 @@ def body(tree: dict, warnings: list[str], origin: str, action_id: str) -> str:
     """The page as HTML below a banner that tells where it comes from."""
     notes = "".join(f"<li>{escape(w)}</li>" for w in warnings)
     listed = f"<ul>{notes}</ul>" if notes else ""
-    return f"<blockquote><p>Recovered from {escape(origin)}</p>{listed}</blockquote>{render.render(tree)}<p>ojr:action={escape(action_id)}</p>"
+    return f"<blockquote><p>Recovered from {escape(origin)}</p>{listed}</blockquote>{render.render(tree)}<p>skarn:action={escape(action_id)}</p>"
