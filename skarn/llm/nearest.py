@@ -10,7 +10,7 @@ Block results, k rows a query, are merged by rank.
 Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of different
 lengths never meet. A query's own rows (those with its vec_id) are not its candidates. Ties go to the
 smaller vec_id. Null vec_ids take no part. A repeated query row gives one result; repeated candidate rows
-are candidates each. Extra columns are ignored; an empty table gives an empty result.
+are candidates each, and rows that share a vec_id are dealt out by their vectors. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def nearest(
 
     def both(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return (
-            df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(n_own)))
+            df.withColumn(own, F.pmod(F.xxhash64("vec_id", "vector", F.lit(own)), F.lit(n_own)))
             .withColumn(other, F.explode(F.expr(f"sequence(0L, {n_other - 1}L)")))
             .groupBy("size", "_q", "_c")
         )

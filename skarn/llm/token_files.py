@@ -15,7 +15,7 @@ Layout of a token folder:
 A reader decodes all stretches between checkpoints in lockstep by one table look-up an id.
 
 Null texts count as empty and hold only the end id. A null doc_id sorts first. Repeated doc_ids
-stay side by side, ordered by their ids. Extra columns are ignored. An empty table gives a folder
+stay side by side in one file, in a fixed order. Extra columns are ignored. An empty table gives a folder
 without blocks.
 """
 
