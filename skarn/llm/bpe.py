@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skarn.llm.common import arrow_map
-from skarn.llm.encoding import CACHE_WORDS, BulkEncoder, batches, take_ranges, tokenizer_path
+from skarn.llm.encoding import CACHE_WORDS, PART_CHARS, BulkEncoder, batches, take_ranges, tokenizer_path
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,11 +42,11 @@ class BacktrackingEncoder(BulkEncoder):
 
     BREAK = "Ā"  # between words; no byte as a Latin-1 letter
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, part_chars: int = PART_CHARS):
         import ahocorasick
         import regex
 
-        super().__init__(path, cache_words)
+        super().__init__(path, cache_words, part_chars)
         if not self.byte_level:
             raise ValueError("the vocabulary is not byte-level BPE")
         with open(path, encoding="utf-8") as f:

@@ -55,6 +55,9 @@ class _Interner(dict):
         return number
 
 
+#: Characters that are cut into pre-tokens at once, at most; longer texts are taken in parts.
+PART_CHARS = 3 << 19
+
 LETTER, NUMBER, OTHER, SPACE, NOT_SURE = range(5)
 
 
@@ -121,7 +124,7 @@ def word_starts(codes: np.ndarray, classes: np.ndarray, begins: np.ndarray) -> n
 class BulkEncoder:
     """Token ids of many texts at once. Null texts count as empty."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, part_chars: int = PART_CHARS):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -144,7 +147,7 @@ class BulkEncoder:
         self.word_library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.classes = character_classes()
-        self.cache_words = cache_words
+        self.cache_words, self.part_chars = cache_words, part_chars
         self._clear()
 
     def _clear(self) -> None:
@@ -248,12 +251,22 @@ class BulkEncoder:
                 plain[k] = ""
             elif not self.byte_level or any(a in text for a in self.added):
                 plain[k], whole[k] = "", self._whole(text)
-        cut = self._cut(plain)
-        if isinstance(cut, list):
-            for k in cut:
-                plain[k], whole[k] = "", self._whole(texts[k])
-            cut = self._cut(plain)
-        at, per_text = cut
+        parts, owner = [], []
+        for k, text in enumerate(plain):
+            own = text_parts(text, self.part_chars)
+            parts += own
+            owner += [k] * len(own)
+        found, per_text = [], np.zeros(len(texts), np.int64)
+        for lo, hi in batches(parts, self.part_chars):
+            some = ["" if owner[k] in whole else parts[k] for k in range(lo, hi)]
+            cut = self._cut(some)
+            if isinstance(cut, list):
+                for k in {owner[lo + j] for j in cut}:
+                    whole[k] = self._whole(texts[k])
+                cut = self._cut(["" if owner[k] in whole else parts[k] for k in range(lo, hi)])
+            found.append(cut[0])
+            np.add.at(per_text, owner[lo:hi], cut[1])
+        at = np.concatenate(found) if found else np.empty(0, np.int64)
         counts = self.counts[at]
         ids = take_ranges(self.pool, self.starts[at], counts)
         ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
@@ -268,6 +281,26 @@ class BulkEncoder:
         return ids, offsets
 
 
+def text_parts(text: str, most: int) -> list[str]:
+    """A long text in parts, cut where a single blank stands between other characters: a pre-token begins
+    there whatever stands around it."""
+    parts, begin = [], 0
+    while len(text) - begin > most:
+        at = begin + most
+        while at > begin:
+            at = text.rfind(" ", begin + 1, at)
+            if at < 0:
+                break
+            if not text[at - 1].isspace() and not text[at + 1 : at + 2].isspace() and at + 1 < len(text):
+                break
+        if at <= begin:
+            break  # no such place: the rest is one part
+        parts.append(text[begin:at])
+        begin = at
+    parts.append(text[begin:])
+    return parts
+
+
 def take_ranges(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The ranges ``pool[start : start + count]`` one after another."""
     ends = np.cumsum(counts, dtype=np.int64)
@@ -278,7 +311,7 @@ def take_ranges(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.
     return pool[where]
 
 
-def batches(texts: list, most_chars: int = 3 << 19):
+def batches(texts: list, most_chars: int = PART_CHARS):
     """Ranges of neighbouring texts of about so many characters each; bounds memory."""
     begin = chars = 0
     for k, text in enumerate(texts):

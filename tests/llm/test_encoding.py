@@ -41,6 +41,16 @@ def test_ids_are_the_library_s(make):
             assert ids[offsets[j] : offsets[j + 1]].tolist() == ids_of(t), t
 
 
+def test_long_texts_in_parts_give_the_same_ids():
+    draw = random.Random(8)
+    encoder = BulkEncoder(PATH, part_chars=50)
+    texts = ["".join(draw.choice("ab  \n\t'sé.1") for _ in range(draw.randint(0, 600))) for _ in range(200)]
+    texts += ["x" * 400, " " * 300, "a b " * 200 + "ह" + " c d" * 50, "<|endoftext|> " * 40, None]
+    ids, offsets = encoder.encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == ids_of(t), t
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_any_text_round_trips(text):
