@@ -1,3 +1,4 @@
+import difflib
 import itertools
 import random
 
@@ -197,3 +198,20 @@ def test_text_bound_is_never_exceeded(spark):
     pairs = [("".join(draw.choice("ab ") for _ in range(draw.randint(0, 30))), "".join(draw.choice("ab ") for _ in range(draw.randint(0, 30)))) for _ in range(80)]
     df = spark.createDataFrame(pairs, "a string, b string").select(features.text_similarity(F.col("a"), F.col("b")).alias("s"), features.text_similarity_bound(F.col("a"), F.col("b")).alias("m"))
     assert all((r["s"] is None) == (r["m"] is None) and (r["s"] is None or r["s"] <= r["m"] + 1e-12) for r in df.collect())
+
+
+def test_truncated_text_counts_by_its_share_of_the_shorter(spark):
+    draw = random.Random(7)
+    text = "".join(draw.choice("abcdefghij klmnop") for _ in range(2000))
+    edited = text[:60] + "#" * 10 + text[70:180]
+
+    def expected(a, b):
+        matched = sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        return max(2 * matched / (len(a) + len(b)), 0.95 * matched / min(len(a), len(b)))
+
+    pairs = [(text, text[:600]), (text[:600], text), (text, edited), (edited, text), (text, text), (text, "?"), (text, text[900:1300])]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", features.text_similarity(F.col("a"), F.col("b")).alias("s"), features.text_similarity_bound(F.col("a"), F.col("b")).alias("m")).collect()
+    by_pair = {(r["a"], r["b"]): r for r in got}
+    for a, b in pairs:
+        assert abs(by_pair[a, b]["s"] - expected(a, b)) < 1e-12 and by_pair[a, b]["s"] <= by_pair[a, b]["m"] + 1e-12
+    assert abs(by_pair[text, text[:600]]["s"] - 0.95) < 1e-12 and by_pair[text, edited]["s"] > 0.8
