@@ -215,3 +215,29 @@ def test_truncated_text_counts_by_its_share_of_the_shorter(spark):
     for a, b in pairs:
         assert abs(by_pair[a, b]["s"] - expected(a, b)) < 1e-12 and by_pair[a, b]["s"] <= by_pair[a, b]["m"] + 1e-12
     assert abs(by_pair[text, text[:600]]["s"] - 0.95) < 1e-12 and by_pair[text, edited]["s"] > 0.8
+
+
+@pytest.mark.parametrize("hot", [0, 4, 1000])
+def test_audit_candidates_match_brute_force_whatever_is_hot(spark, hot):
+    draw = random.Random(hot + 5)
+    kinds = ["title", "section", "line", "url", "notebook"]
+
+    def side(n, prefix):
+        found = [(f"{prefix}{k:02}", kind, f"{kind}{draw.randrange(4)}") for k in range(n) for kind in kinds for _ in range(draw.randint(0, 1))]
+        return sorted({*found, *((f"{prefix}{k:02}", "token", f"w{draw.randrange(6)}") for k in range(n) for _ in range(draw.randint(0, 4)))})
+
+    source, target = side(14, "s"), side(50, "t")
+    expected = []
+    for s in sorted({x[0] for x in source}):
+        mine, per = {x[1:] for x in source if x[0] == s}, {}
+        for t in {x[0] for x in target}:
+            its = {x[1:] for x in target if x[0] == t}
+            a, b = ({w for kind, w in x if kind == "token"} for x in (mine, its))
+            shared = {kind for kind, _ in mine & its}
+            weights = {"title": 10, "section": 5, "line": 8, "notebook": 2}
+            rank = sum(weights.get(kind, 0) for kind in shared) + (3.0 * len(a & b) / len(a | b) if a and b else 0.0)
+            per.setdefault(bool(shared - {"token", "notebook"}), []).append((rank, t)) if shared else None
+        expected += [(s, t, round(r, 9)) for r, t in sorted(per.get(True) or per.get(False) or [], key=lambda x: (-x[0], x[1]))[:5]]
+    schema = "{} string, kind string, key string"
+    found = blocking.audit_candidates(spark.createDataFrame(source, schema.format("s")), spark.createDataFrame(target, schema.format("t")), "s", "t", k=5, hot=hot)
+    assert rows(found.select("s", "t", F.round("rank", 9))) == sorted(expected)

@@ -173,3 +173,11 @@ def test_page_resources(spark):
     found = scans.resources_of(df, "i", scans.page_resources(F.col("xml"))).orderBy("place").collect()
     assert [(r["reference"], r["name"], r["content"]) for r in found] == [("image:0", "i", b"hi"), ("file:0", "f.pdf", None)]
     assert df.select(scans.page_warnings(F.col("xml"))).first()[0] == ["unsupported OneNote object: InkDrawing x1"]
+
+
+def test_a_moved_note_outranks_a_hundred_section_mates(spark):
+    line = "a line that only the page and its moved note have"
+    pages = records(spark, [("p", "Original", line + "\n\nfirst end", {"path": ["Work", "Tasks"]})])
+    notes = records(spark, [(f"m{k:03}", f"Mate {k}", f"mate {k}", {"path": ["Home", "Tasks"]}) for k in range(130)] + [("z", "Elsewhere", line + "\n\nother end", {"path": ["Home", "Moved"]})])
+    got = links(audit.match(pages, notes))
+    assert got["p"][0] == "z"
