@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Characters that are deleted, and those that become a blank (fixed values).
 ZERO_WIDTH = r"[\u200B\u200C\u200D\uFEFF]"
@@ -39,6 +39,12 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else t.casefold())
 
 
+@pandas_udf(ArrayType(StringType()))
+def casefolded(texts: pd.Series) -> pd.Series:
+    """Each of an array of texts."""
+    return texts.map(lambda a: None if a is None else [t if t is None else t.casefold() for t in a])
+
+
 def normalize_text(text: Column) -> Column:
     """NFC, one kind of line end and blank, no zero-width characters, no blank lines or edges."""
     out = nfc(F.coalesce(text, F.lit("")))

@@ -181,3 +181,17 @@ def test_a_moved_note_outranks_a_hundred_section_mates(spark):
     notes = records(spark, [(f"m{k:03}", f"Mate {k}", f"mate {k}", {"path": ["Home", "Tasks"]}) for k in range(130)] + [("z", "Elsewhere", line + "\n\nother end", {"path": ["Home", "Moved"]})])
     got = links(audit.match(pages, notes))
     assert got["p"][0] == "z"
+
+
+def test_notebook_and_section_keys_fold_case_and_take_every_part(spark):
+    pages = records(spark, [("p", "", "one", {"path": ["Notebook", "Straße"]})])
+    notes = records(spark, [("n1", "", "two", {"path": ["Import", "NOTEBOOK", "Else"]}), ("n2", "", "three", {"path": ["X", "STRASSE"]}), ("n3", "", "four", {"path": []})])
+
+    def keys(df, **kind):
+        return {tuple(r) for r in audit.record_keys(df, "r", **kind).where("kind in ('notebook', 'section')").collect()}
+
+    assert keys(pages) == {("p", "notebook", "notebook"), ("p", "section", "strasse")}
+    assert keys(notes, every_part=True) == {
+        ("n1", "notebook", "import"), ("n1", "notebook", "notebook"), ("n1", "notebook", "else"), ("n1", "section", "else"),
+        ("n2", "notebook", "x"), ("n2", "notebook", "strasse"), ("n2", "section", "strasse"),
+    }
