@@ -241,3 +241,13 @@ def test_audit_candidates_match_brute_force_whatever_is_hot(spark, hot):
     schema = "{} string, kind string, key string"
     found = blocking.audit_candidates(spark.createDataFrame(source, schema.format("s")), spark.createDataFrame(target, schema.format("t")), "s", "t", k=5, hot=hot)
     assert rows(found.select("s", "t", F.round("rank", 9))) == sorted(expected)
+
+
+def test_path_similarity_folds_case_and_compares_last_parts(spark):
+    cases = [
+        (["Notebook", "Group", "Section"], ["Import", "Section"], 0.8), (["Notebook", "Group", "Section"], ["Section"], 0.8), (["N", "Straße"], ["n", "STRASSE"], 1.0),
+        (["N", "S"], ["x", "s"], 0.8), (["Notebook", "S"], ["Import", "NOTEBOOK", "T"], 0.4), (["N", "S"], ["S", "T"], 0.0), (["N", "S"], [], 0.0),
+    ]
+    df = spark.createDataFrame([(k, *case) for k, case in enumerate(cases)], "k int, p array<string>, q array<string>, expected double")
+    got = df.select("k", features.path_similarity(F.col("p"), F.col("q")).alias("s"), "expected").orderBy("k").collect()
+    assert [r["s"] for r in got] == [r["expected"] for r in got]
