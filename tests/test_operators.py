@@ -251,3 +251,16 @@ def test_path_similarity_folds_case_and_compares_last_parts(spark):
     df = spark.createDataFrame([(k, *case) for k, case in enumerate(cases)], "k int, p array<string>, q array<string>, expected double")
     got = df.select("k", features.path_similarity(F.col("p"), F.col("q")).alias("s"), "expected").orderBy("k").collect()
     assert [r["s"] for r in got] == [r["expected"] for r in got]
+
+
+def test_containment_finds_texts_of_one_or_two_words(spark):
+    u, v, w = "https://one.example/abcdefghij", "https://two.example/klmnopqrst", "z" * 20 + "0123456789" * 4
+    items = [("two", f"{u}\n{v}"), ("cut", f"{u[4:]} {v}0"), ("one", w), ("wide", "a" + " " * 50 + "b"), ("blank", " " * 52), ("none", f"{v} {u}")]
+    docs = [("d1", "1", f"see {u}\n{v} for more"), ("d2", "2", f"x{u} {v}012 end"), ("d3", "3", f"q{w}q"), ("d4", "4", f"xa{' ' * 50}by"), ("d5", "5", "x" + " " * 60 + "y"), ("d6", "6", u), ("d7", "7", v)]
+    first = {}
+    for i, inner in items:
+        found = [(o, d) for d, o, outer in docs if len(outer) > len(inner) and inner in outer]
+        if found:
+            first[i] = min(found)[1]
+    got = blocking.containment(spark.createDataFrame(items, "i string, text string"), spark.createDataFrame(docs, "d string, ord string, text string"), "i", "d", "ord")
+    assert dict(rows(got)) == first == {"two": "d1", "cut": "d2", "one": "d3", "wide": "d4", "blank": "d5"}
