@@ -56,4 +56,4 @@ def check_export(spark: SparkSession, source: str, target: str) -> DataFrame:
     roots = pages.select(F.col("notebook_title").alias("_root")).distinct()
     scope = notes.where("status = 'normal'").join(roots, F.get("notebook_path", 0) == F.col("_root"), "left_semi")
     found = note_records(scope).select(F.col("embedded_page_id").alias("id"), "title", "path", "text_sha256", F.array_sort("resource_hashes").alias("resource_hashes"))
-    return validate.note_issues(planned, found)
+    return validate.note_issues(planned, found, planned.select("id"))

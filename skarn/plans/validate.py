@@ -22,19 +22,26 @@ COMPARED = {
 }
 
 
-def note_issues(planned: DataFrame, found: DataFrame) -> DataFrame:
+def note_issues(planned: DataFrame, found: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """kind, id of every difference between planned and found notes, in one join.
 
     Both have ``id`` and some of path, title, text_sha256 and resource_hashes (a sorted array). A planned
     id found several times is a duplicate and not compared further; found rows without id are unexpected.
+    ``source``: the ``id`` of each page that the source holds; a planned id that is not among them is that issue alone.
     """
     columns = [c for c in COMPARED if c in planned.columns and c in found.columns]
     nameless = found.where(F.col("id").isNull()).select(F.lit("unexpected-note-without-source-id").alias("kind"), "id")
     plan = planned.select("id", *[F.col(c).alias(f"planned_{c}") for c in columns], F.lit(True).alias("_planned"))
+    if source is None:
+        plan = plan.withColumn("_held", F.lit(True))
+    else:
+        plan = plan.join(source.select("id", F.lit(True).alias("_held")).distinct(), "id", "left")
     both = plan.join(grouped(found.where(F.col("id").isNotNull()), columns), "id", "full_outer")
-    known, count = F.col("_planned").isNotNull(), F.coalesce("n", F.lit(0))
+    planned_, count = F.col("_planned").isNotNull(), F.coalesce("n", F.lit(0))
+    known = planned_ & F.col("_held").isNotNull()
     kinds = [
-        F.when(~known, "unexpected-exported-source-id"), F.when(known & (count == 0), "exported-note-missing"),
+        F.when(planned_ & F.col("_held").isNull(), "planned-source-page-missing"),
+        F.when(~planned_, "unexpected-exported-source-id"), F.when(known & (count == 0), "exported-note-missing"),
         F.when(known & (count > 1), "duplicate-exported-note"),
     ]
     kinds += [

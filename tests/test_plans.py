@@ -195,3 +195,12 @@ def test_notebook_and_section_keys_fold_case_and_take_every_part(spark):
         ("n1", "notebook", "import"), ("n1", "notebook", "notebook"), ("n1", "notebook", "else"), ("n1", "section", "else"),
         ("n2", "notebook", "x"), ("n2", "notebook", "strasse"), ("n2", "section", "strasse"),
     }
+
+
+def test_planned_notes_whose_page_is_gone(spark):
+    planned = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("d", "D")], "id string, title string")
+    found = spark.createDataFrame([("a", "A!"), ("b", "B!"), ("c", "C"), ("c", "C")], "id string, title string")
+    source = spark.createDataFrame([("b",), ("e",)], "id string")
+    assert sorted(map(tuple, validate.note_issues(planned, found, source).collect())) == [
+        ("planned-source-page-missing", "a"), ("planned-source-page-missing", "c"), ("planned-source-page-missing", "d"), ("wrong-export-title", "b"),
+    ]
