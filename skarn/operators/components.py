@@ -15,22 +15,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+HUBS = 256  # nodes whose pairs may be kept out of a shuffle at most
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, kept in the folder that the session names in ``spark.checkpoint.dir``.
 
-    A temporary folder is taken only where the session names none, as in tests.
+    Only on one machine, where the session names none (as in tests), is a temporary folder taken; on a cluster that is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="skarn-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        master = spark.sparkContext.master
+        if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skarn-"))
     return df.checkpoint()
 
 
-def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """Adds to each pair (a, b) the least of a and all b of that a."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return pairs.join(least, "a")
+def _with_least(pairs: DataFrame, n: int) -> DataFrame:
+    """Adds to each of ``n`` pairs (a, b) the least ``m`` of a and all b of that a.
+
+    Pairs of a hub, a node with more than n / ``HUBS`` of them, do not meet in one task: there are fewer than ``HUBS`` hubs, so
+    that their least neighbours are broadcast.
+    """
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
+    hub = F.col("_n") > max(n // HUBS, HUBS)
+    hubs = F.broadcast(least.where(hub).select("a", F.col("m").alias("_hub")))
+    marked = pairs.join(hubs, "a", "left")
+    rest = marked.where("_hub is null").drop("_hub").join(least.where(~hub).drop("_n"), "a")
+    return rest.unionByName(marked.where("_hub is not null").withColumnRenamed("_hub", "m"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -45,14 +59,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         .distinct()
     )
     now = checkpointed(now)
-    seen = None
-    while True:
+    seen = (now.count(), None)
+    while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = (
-            _least_neighbour(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = checkpointed(
+            _with_least(both, 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .where("a != b").distinct()
         )
-        small = _least_neighbour(large)
+        small = _with_least(large, seen[0])
         now = checkpointed(
             small.select("a", F.col("m").alias("b"))
             .unionByName(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
