@@ -30,6 +30,7 @@ from skarn.llm.common import arrow_map, written
 from skarn.operators.components import connected_components
 
 BLOCK = 1024  # fingerprints to a side of a comparison
+REFINED = 1 << 14  # fingerprints of a tile beyond which it is cut into finer ones
 
 
 def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int:
@@ -102,8 +103,34 @@ def tile_rows(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(tiles), np.concatenate(visitor), np.concatenate(out)
 
 
-def tile_edges(fps: np.ndarray, visitor: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def finer_tiles(fps: np.ndarray, visitor: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a large tile, by the same rule on quarters of its blocks.
+
+    Two fingerprints that differ in two bits at most are equal in 6 of 8 bytes at least; of the tile's they are told
+    apart by the bytes that vary, of which all but two are equal. So each choice of two bytes to leave out is a
+    sorting by the others, and only rows that agree there are compared: at most 65,536 distinct ones.
+    """
+    whole = fps.view(np.uint8).reshape(len(fps), 8)
+    varying = [k for k in range(8) if (whole[:, k] != whole[0, k]).any()]
+    left, right = [], []
+    for out in combinations(varying, min(2, len(varying))):
+        mask = np.uint64((1 << 64) - 1 - sum(255 << (8 * k) for k in out))
+        key = fps & mask
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            if b - a > 1:
+                some = order[a:b]
+                for found, into in zip(tile_edges(fps[some], visitor[some], radius, len(some)), (left, right), strict=True):
+                    into.append(found)
+    none = [np.empty(0, np.uint64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def tile_edges(fps: np.ndarray, visitor: np.ndarray, radius: int, most: int = REFINED) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links in one tile; visitors meet their own kind elsewhere."""
+    if len(fps) > most:
+        return finer_tiles(fps, visitor, radius)
     order = np.lexsort((np.bitwise_count(fps), visitor))
     fps, visitor = fps[order], visitor[order]
     ones = np.bitwise_count(fps).astype(np.int64)
@@ -124,6 +151,27 @@ def tile_edges(fps: np.ndarray, visitor: np.ndarray, radius: int) -> tuple[np.nd
     return fps[other], fps[label[other]]
 
 
+def whole_tiles(all_batches):
+    """Columns of batches that are sorted by the first one, cut between its values."""
+    held: list[list[np.ndarray]] = []
+    for batch in all_batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(new[0]):
+            continue
+        cut = int(np.searchsorted(new[0], new[0][-1]))  # the last tile may go on
+        if held and held[0][0][0] != new[0][-1]:
+            held.append([c[:cut] for c in new])
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = [[c[cut:] for c in new]]
+        elif not held and cut:
+            yield [c[:cut] for c in new]
+            held = [[c[cut:] for c in new]]
+        else:
+            held.append(new)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Edges ``src``, ``dst`` whose components are those of all links among distinct ``fp``."""
     if radius > 2:
@@ -140,8 +188,6 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         return step
 
     def compare(all_batches):
-        held = [np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)]
-
         def edges(tile: np.ndarray, visitor: np.ndarray, fp: np.ndarray):
             fp = fp.view(np.uint64)
             first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
@@ -167,15 +213,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
                 if len(pair[0]):
                     yield pa.record_batch([pa.array(p) for p in pair], names=["src", "dst"])
 
-        for batch in all_batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if len(held[0]) and held[0][0] != held[0][-1]:
-                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last tile may go on
-                yield from edges(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield from edges(*held)
+        for tiles in whole_tiles(all_batches):
+            yield from edges(*tiles)
 
     return (
         arrow_map(distinct.select("fp"), spread, "tile long, visitor boolean, fp long")
