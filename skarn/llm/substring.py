@@ -12,12 +12,13 @@ Those that occur twice are the repeated windows, no more and no less.
 
 Both counts pre-aggregate. A task gathers keys, and of equal keys it sends one, marked as known to be
 repeated, to the key's bucket; the other places need no counting and are dealt out evenly. So a passage
-that a third of all documents hold burdens no task. Keys travel in blocks of byte planes, which
-compress well, and a bucket is sorted and counted with numpy.
+that a third of all documents hold burdens no task. Keys travel in compressed blocks of byte planes, and a bucket is sorted and
+counted with numpy; there are as many buckets as the texts' bytes ask for. Documents are told apart by doc_id and a 64-bit hash
+of the text, those without a doc_id by 128 bits of the text. Of rows equal in both a task reads one and marks its keys as repeated.
 
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D, unchanged. Null and empty texts have none.
 Repeated rows count as documents of their own, so they repeat each other; null doc_ids are
-kept. Extra columns are ignored; an empty table gives an empty result.
+kept, however many there are. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from skarn.llm.common import arrow_map
 from skarn.llm.encoding import batches as text_ranges
@@ -36,6 +38,8 @@ from skarn.llm.encoding import batches as text_ranges
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 
+BUCKET_BYTES = 1 << 26  # of text to a bucket of keys
+
 #: Bytes of a key. Anchors only filter, so that a few chance repeats do no harm; windows decide.
 ANCHOR_KEY, WINDOW_KEY = 6, 12
 
@@ -82,7 +86,7 @@ class Sender:
         self.size = 0
 
     def add(self, key: np.ndarray, check: np.ndarray | None, docs: np.ndarray, position: np.ndarray):
-        """``docs``: 13 bytes a record that tell its document; yields blocks when enough is held."""
+        """``docs``: ``DOCUMENT`` bytes a record that tell its document; yields blocks when enough is held."""
         width = self.key_bytes
         rows = np.empty((len(key), width + DOCUMENT + 4), np.uint8)
         rows[:, : min(width, 8)] = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : min(width, 8)]
@@ -109,17 +113,14 @@ class Sender:
         yield self.blocks(one, first_key(one, width) % np.uint64(self.buckets), width, False)
         others = rows[~first][:, width:]
         if len(others):
-            where = mixed(first_key(others, 8)) % np.uint64(self.buckets)  # by document
+            where = document_bucket(others, self.buckets)
             yield self.blocks(others, where, 0, True)
 
     def blocks(self, rows: np.ndarray, bucket: np.ndarray, width: int, known: bool):
         order = np.argsort(bucket, kind="stable")
         rows, bucket = rows[order], bucket[order]
         starts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-        bodies = [
-            np.ascontiguousarray(rows[a:b].T).tobytes()
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)
-        ]
+        bodies = planes(rows, starts)
         return pa.record_batch(
             [
                 pa.array(bucket[starts].astype(np.int32)), pa.array(np.full(len(starts), known)),
@@ -129,19 +130,44 @@ class Sender:
         )
 
 
-#: Bytes that tell a document: doc_id, flags, hash of the text (tells rows of one doc_id apart).
-DOCUMENT, FLAGS = 13, 8
+#: Bytes that tell a document: its key (doc_id, or a hash of the text), flags, hash of the text.
+DOCUMENT, FLAGS = 17, 8
 REPEATED, NO_ID = 1, 2
 
 
-def document_bytes(doc_id: pa.Array, text_hash: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(doc_id), DOCUMENT), np.uint8)
-    out[:, :8] = doc_id.fill_null(0).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
-    out[:, FLAGS] = np.where(np.asarray(doc_id.is_null()), NO_ID, 0)
-    out[:, FLAGS + 1 :] = text_hash.astype("<i4").view(np.uint8).reshape(-1, 4)
+def identity(doc_id: Column, text: Column) -> dict[str, Column]:
+    """What tells a document from all others; rows of one doc_id and text have it in common."""
+    return {
+        "doc_key": F.coalesce(doc_id.cast("long"), F.xxhash64(text)), "no_id": doc_id.isNull(), "text_hash": F.xxhash64(F.lit(1), text),
+    }
+
+
+def document_bytes(key: np.ndarray, no_id: np.ndarray, text_hash: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(key), DOCUMENT), np.uint8)
+    out[:, :8] = key.astype("<i8").view(np.uint8).reshape(-1, 8)
+    out[:, FLAGS] = np.where(no_id, NO_ID, 0) | np.where(repeated, REPEATED, 0)
+    out[:, FLAGS + 1 :] = text_hash.astype("<i8").view(np.uint8).reshape(-1, 8)
     return out
 
 
+def document_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
+    return mixed(first_key(rows, 8) ^ first_key(rows[:, FLAGS + 1 : DOCUMENT], 8)) % np.uint64(buckets)
+
+
+def planes(rows: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The rows from each start on, as compressed byte planes."""
+    packer = ZstdCompressor(level=1)
+    return [
+        packer.compress(np.ascontiguousarray(rows[a:b].T).tobytes())
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)
+    ]
+
+
+def unpacked(body: bytes, width: int) -> np.ndarray:
+    """Byte planes, one a row."""
+    return np.frombuffer(ZstdDecompressor().decompress(body), np.uint8).reshape(width, -1)
+
+
 def first_key(rows: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(rows), 8), np.uint8)
     out[:, : min(width, 8)] = rows[:, : min(width, 8)]
@@ -166,21 +192,17 @@ def sorted_keys(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def by_document_blocks(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Places (documents and positions, no keys) in one block for each bucket of documents."""
-    bucket = mixed(first_key(rows, 8)) % np.uint64(buckets)
-    order = np.lexsort((first_key(rows[:, FLAGS:DOCUMENT], 5), first_key(rows, 8), bucket))
+    bucket = document_bucket(rows, buckets)
+    order = np.lexsort((first_key(rows[:, FLAGS + 1 : DOCUMENT], 8), first_key(rows, 8), bucket))
     rows, bucket = rows[order], bucket[order].astype(np.int64)
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    bodies = [
-        np.ascontiguousarray(rows[a:b].T).tobytes()
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)
-    ]
     return pa.record_batch(
-        [pa.array(bucket[starts].astype(np.int32)), pa.array(bodies, pa.binary())], names=["bucket", "body"]
+        [pa.array(bucket[starts].astype(np.int32)), pa.array(planes(rows, starts), pa.binary())], names=["bucket", "body"]
     )
 
 
 def repeated_places(sent: DataFrame, key_bytes: int, partitions: int) -> DataFrame:
-    """Places whose key occurs more than once: doc_id, text_hash, places, one row a document."""
+    """Places whose key occurs more than once: doc_key, no_id, text_hash, places, one row a document."""
     width = DOCUMENT + 4
 
     def count(all_batches):
@@ -188,7 +210,7 @@ def repeated_places(sent: DataFrame, key_bytes: int, partitions: int) -> DataFra
         for batch in all_batches:
             for is_known, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 size = width + (0 if is_known else key_bytes)
-                (known if is_known else keyed).append(np.frombuffer(body, np.uint8).reshape(size, -1))
+                (known if is_known else keyed).append(unpacked(body, size))
         found = [x.T for x in known]
         # a part of the keys at a time, where a partition holds very many
         parts = max(1, sum(x.shape[1] for x in keyed) >> 21)
@@ -210,21 +232,20 @@ def repeated_places(sent: DataFrame, key_bytes: int, partitions: int) -> DataFra
             yield by_document_blocks(rows, partitions)
 
     def gather(all_batches):
-        found = [
-            np.frombuffer(body, np.uint8).reshape(width, -1).T
-            for batch in all_batches for body in batch.column(1).to_pylist()
-        ]
+        found = [unpacked(body, width).T for batch in all_batches for body in batch.column(1).to_pylist()]
         if not found:
             return
         rows = np.concatenate(found)
-        rows = rows[np.lexsort((first_key(rows[:, FLAGS:DOCUMENT], 5), first_key(rows, 8)))]
+        order = (first_key(rows[:, DOCUMENT:], 4), first_key(rows[:, FLAGS + 1 : DOCUMENT], 8), rows[:, FLAGS], first_key(rows, 8))
+        rows = rows[np.lexsort(order)]
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]  # equal rows of documents have the same places
         starts = np.flatnonzero(np.append(True, (rows[1:, :DOCUMENT] != rows[:-1, :DOCUMENT]).any(1)))
         heads = rows[starts]
         places = np.ascontiguousarray(rows[:, DOCUMENT:]).view("<u4")[:, 0].astype(np.int32)
         table = pa.table(
             {
-                "doc_id": pa.array(first_key(heads, 8).view(np.int64), mask=heads[:, FLAGS] > 0),
-                "text_hash": pa.array(np.ascontiguousarray(heads[:, FLAGS + 1 : DOCUMENT]).view("<i4")[:, 0]),
+                "doc_key": pa.array(first_key(heads, 8).view(np.int64)), "no_id": pa.array(heads[:, FLAGS] > 0),
+                "text_hash": pa.array(first_key(heads[:, FLAGS + 1 :], 8).view(np.int64)),
                 "places": pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(places)),
             }
         )
@@ -232,22 +253,28 @@ def repeated_places(sent: DataFrame, key_bytes: int, partitions: int) -> DataFra
 
     return (
         sent.repartition(partitions, "bucket").mapInArrow(count, "bucket int, body binary")
-        .repartition(partitions, "bucket").mapInArrow(gather, "doc_id long, text_hash int, places array<int>")
+        .repartition(partitions, "bucket").mapInArrow(gather, "doc_key long, no_id boolean, text_hash long, places array<int>")
     )
 
 
 def send(docs: DataFrame, key_bytes: int, buckets: int, records) -> DataFrame:
-    """Blocks of the records that ``records()`` finds in each batch."""
+    """Blocks of the records that ``records()`` finds in each batch of ``docs(doc_key, no_id, text_hash, text, ...)``."""
 
     def run(all_batches):
         find, sender = records(), Sender(key_bytes, buckets)
         for batch in all_batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             for lo, hi in text_ranges(texts):
-                part = batch.slice(lo, hi - lo)
-                key, check, owner, position = find(part, texts[lo:hi])
-                told = document_bytes(part.column(0), part.column(1).to_numpy())
-                yield from sender.add(key, check, told[owner], position)
+                part, own = batch.slice(lo, hi - lo), texts[lo:hi]
+                told = [part.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+                _, first, copies = np.unique(np.rec.fromarrays(told), return_index=True, return_counts=True)
+                if len(first) < len(own):
+                    part, own = part.take(pa.array(first)), [own[k] for k in first.tolist()]
+                else:
+                    first = np.arange(len(own))
+                key, check, owner, position = find(part, own)
+                rows = document_bytes(*(t[first] for t in told), copies > 1)
+                yield from sender.add(key, check, rows[owner], position)
         yield from sender.flush()
 
     return docs.mapInArrow(run, "bucket int, known boolean, body binary")
@@ -308,19 +335,24 @@ def candidate_windows(window: int, period: int):
     return find
 
 
+TOLD = ("doc_key", "no_id", "text_hash")
+
+
 def joined(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    same = docs["doc_id"].eqNullSafe(places["doc_id"]) & (docs["text_hash"] == places["text_hash"])
+    same = [docs[c] == places[c] for c in TOLD]
     return docs.join(places, same, how).select(*(docs[c] for c in docs.columns), places["places"])
 
 
 def repeated_windows(
     docs: DataFrame, window: int = 35, period: int = PERIOD, cover: tuple[int, ...] = COVER
 ) -> DataFrame:
-    """Where repeated windows begin: doc_id, text_hash, places. ``docs``: doc_id, text_hash, text."""
-    # as many buckets as shuffle partitions, which the session sizes for the data
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = send(docs.select("doc_id", "text_hash", "text"), ANCHOR_KEY, partitions, lambda: anchors(window, period, cover))
-    candidates = joined(docs, repeated_places(sent, ANCHOR_KEY, partitions), "inner")
+    """Where repeated windows begin: doc_key, no_id, text_hash, places. ``docs``: doc_key, no_id, text_hash, text, ..."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    own = docs.select(*TOLD, "text")
+    sent = send(own, ANCHOR_KEY, partitions, lambda: anchors(window, period, cover))
+    # all columns are joined, so that Spark shuffles the texts once for this join and the last one
+    candidates = joined(docs, repeated_places(sent, ANCHOR_KEY, partitions), "inner").select(*TOLD, "text", "places")
     sent = send(candidates, WINDOW_KEY, partitions, lambda: candidate_windows(window, period))
     return repeated_places(sent, WINDOW_KEY, partitions)
 
@@ -334,14 +366,15 @@ def remove_repeated(
     by one space. ``keep`` names further columns to return.
     """
     # both joins read these columns, so that Spark shuffles the texts once for the two of them
-    keyed = docs.select("doc_id", F.hash("text").alias("text_hash"), "text", *(F.col(c).alias(f"_{c}") for c in keep))
+    told = identity(F.col("doc_id"), F.col("text"))
+    keyed = docs.select("doc_id", "text", *(c.alias(n) for n, c in told.items()), *(F.col(c).alias(f"_{c}") for c in keep))
     kinds = dict(docs.dtypes)
     places = repeated_windows(keyed, window)
 
     def make():
         def step(batch: pa.RecordBatch):
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for text, starts in zip(batch.column(2).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
+            for text, starts in zip(batch.column(1).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
                 words = (text or "").encode().split()
                 removed = 0
                 if starts.is_valid and len(starts.values):
@@ -364,7 +397,7 @@ def remove_repeated(
             if with_text:
                 columns.append(pa.array(kept_texts, pa.string()))
                 names.append("kept_text")
-            columns += [batch.column(3 + k) for k in range(len(keep))]
+            columns += [batch.column(2 + len(TOLD) + k) for k in range(len(keep))]
             yield pa.record_batch(columns, names=[*names, *keep])
 
         return step
