@@ -8,7 +8,7 @@ the log odds of the classes.
 
 The model is fit on at most ``sample_rows`` labelled rows, those with the least hash of their doc_id; the statistics of
 these few rows reach the driver, texts do not. Rows whose label is null are not used, and of several labels
-of a doc_id the least is taken. With labels of one class only, or none, every score is that class' smoothed share.
+of a doc_id the least is taken, and of several texts that of least hash. With labels of one class only, or none, every score is that class' smoothed share.
 
 Null and empty texts have statistics of zero words and are scored like others. Repeated rows are scored
 each; a null doc_id counts as held in. Extra columns are ignored; an empty table gives an empty result.
@@ -127,8 +127,10 @@ def labelled_sample(
         .groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    # sample_rows rows of a long and an int at most
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # sample_rows rows of a long and an int at most; of rows that share a doc_id the text of least hash teaches
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    return found.groupBy("doc_id", "label").agg(least.alias("_least")).select("doc_id", F.col("_least.text").alias("text"), "label")
 
 
 def fit(sample: DataFrame) -> Discriminant:
