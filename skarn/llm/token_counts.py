@@ -73,12 +73,21 @@ def allocate(
     return np.bincount(owner, minlength=n).astype(float), np.bincount(owner[crossing], minlength=n)
 
 
-def section_token_counts(
-    docs: DataFrame, tokenizer: str | None = None, rule: str = "first", separator: str = "\n"
-) -> DataFrame:
-    """One row a section: doc_id, section int, start_char, end_char, n_tokens double, n_crossing."""
-    if rule not in RULES or len(separator) != 1 or not separator.isascii():
-        raise ValueError("unknown rule or separator")
+def given_ends(raw: np.ndarray, text_ends: np.ndarray, begins: np.ndarray, ends: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of sections in bytes, from ends in characters of each text, and the text that each is of."""
+    char_starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    sizes = np.array([len(e) for e in ends], np.int64)
+    owner = np.repeat(np.arange(len(ends)), sizes)
+    first_char = np.searchsorted(char_starts, begins)
+    at = np.fromiter((e for own in ends for e in own), np.int64, int(sizes.sum()))
+    return char_starts[first_char[owner] + at], owner
+
+
+def allocated(docs: DataFrame, tokenizer: str | None, rule: str, separator: str | None) -> DataFrame:
+    """key, section, start_char, end_char, n_tokens, n_crossing of ``docs(key, text[, ends])``.
+
+    Sections end at ``separator``, or else at the characters of ``ends``, of which the last is the text's end.
+    """
     path = tokenizer or tokenizer_path()
 
     def make():
@@ -89,12 +98,16 @@ def section_token_counts(
             for lo, hi in batches(texts):
                 coded = [(t or "").encode() for t in texts[lo:hi]]
                 text_ends = np.cumsum([len(b) for b in coded])
+                text_begins = text_ends - [len(b) for b in coded]
                 raw = np.frombuffer(b"".join(coded), np.uint8)
                 ids, _ = encoder.encode(texts[lo:hi])
-                ends, owner = section_ends(raw, text_ends, ord(separator))
+                if separator is not None:
+                    ends, owner = section_ends(raw, text_ends, ord(separator))
+                else:
+                    ends, owner = given_ends(raw, text_ends, text_begins, batch.column(2).slice(lo, hi - lo).to_pylist())
                 tokens, crossing = allocate(np.cumsum(encoder.token_sizes[ids]), ends, rule)
                 chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                begins = chars[text_ends - [len(b) for b in coded]]
+                begins = chars[text_begins]
                 first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 number = np.arange(len(owner)) - np.repeat(first, np.diff([*first, len(owner)]))
                 end_char = chars[ends] - begins[owner]
@@ -104,15 +117,22 @@ def section_token_counts(
                         batch.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(number.astype(np.int32)),
                         pa.array(start_char), pa.array(end_char), pa.array(tokens), pa.array(crossing.astype(np.int64)),
                     ],
-                    names=["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing"],
+                    names=["key", "section", "start_char", "end_char", "n_tokens", "n_crossing"],
                 )
 
         return step
 
-    return arrow_map(
-        docs.select("doc_id", "text"), make,
-        "doc_id long, section int, start_char long, end_char long, n_tokens double, n_crossing long",
-    )
+    kind = dict(docs.dtypes)["key"]
+    return arrow_map(docs, make, f"key {kind}, section int, start_char long, end_char long, n_tokens double, n_crossing long")
+
+
+def section_token_counts(
+    docs: DataFrame, tokenizer: str | None = None, rule: str = "first", separator: str = "\n"
+) -> DataFrame:
+    """One row a section: doc_id, section int, start_char, end_char, n_tokens double, n_crossing."""
+    if rule not in RULES or len(separator) != 1 or not separator.isascii():
+        raise ValueError("unknown rule or separator")
+    return allocated(docs.select(F.col("doc_id").alias("key"), "text"), tokenizer, rule, separator).withColumnRenamed("key", "doc_id")
 
 
 def field_token_counts(
@@ -120,12 +140,14 @@ def field_token_counts(
 ) -> DataFrame:
     """Tokens of each field when the fields are encoded as one text, a line end after each.
 
-    A null field counts as empty. Returns the key as doc_id, field, n_tokens.
+    The text is the fields' own, unchanged; a field ends where its characters and its line end do, whatever
+    it holds. A null field counts as empty. Returns the key as doc_id, of whatever type it is, field, n_tokens.
     """
-    one_line = [F.regexp_replace(F.coalesce(F.col(f).cast("string"), F.lit("")), "\x1e", " ") for f in fields]
-    joined = df.select(
-        F.col(key).cast("long").alias("doc_id"), F.concat_ws("", *[F.concat(c, F.lit("\x1e")) for c in one_line]).alias("text")
-    )
-    counts = section_token_counts(joined, tokenizer, rule, separator="\x1e")
+    if rule not in RULES:
+        raise ValueError("unknown rule")
+    own = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    ends = [sum((F.length(c) + 1 for c in own[1 : k + 1]), F.length(own[0]) + 1) for k in range(len(own))]
+    joined = df.select(F.col(key).alias("key"), F.concat(*[F.concat(c, F.lit("\n")) for c in own]).alias("text"), F.array(*ends).alias("ends"))
+    counts = allocated(joined, tokenizer, rule, None)
     names = F.array(*[F.lit(f) for f in fields])
-    return counts.select("doc_id", F.element_at(names, F.col("section") + 1).alias("field"), "n_tokens")
+    return counts.select(F.col("key").alias("doc_id"), F.element_at(names, F.col("section") + 1).alias("field"), "n_tokens")
