@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from skarn.llm.common import arrow_map
 from skarn.llm.encoding import CACHE_WORDS, PART_CHARS, BulkEncoder, batches, take_ranges, tokenizer_path
 
+PAIRS = 1 << 20  # pairs of tokens whose compatibility a worker keeps
+
 
 def byte_letters() -> dict[str, int]:
     """The letter by which byte-level vocabularies write each byte, by rule: visible bytes of
@@ -134,6 +136,8 @@ class BacktrackingEncoder(BulkEncoder):
                         pair = (last, token)
                         fits = known.get(pair)
                         if fits is None:
+                            if len(known) >= PAIRS:
+                                known.clear()  # pairs are found again when they come
                             fits = known[pair] = self._reachable(token) and self._fits(last, token)
                     if fits:
                         tokens.append(token)
