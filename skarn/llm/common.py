@@ -13,31 +13,38 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where it names none (in tests, on one machine) is a temporary folder taken.
+    Only on one machine, where it names none (as in tests), is a temporary folder taken; on a cluster that is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        made = spark.sparkContext.getCheckpointDir()
-        folder = made or "file://" + tempfile.mkdtemp(prefix="skarn-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        folder = "file://" + tempfile.mkdtemp(prefix="skarn-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-#: Folders that this session has made.
-MADE: list[str] = []
+#: Folders that each session has made, by the session's own id.
+MADE: dict[str, list[str]] = {}
+
+
+def made_by(spark: SparkSession) -> list[str]:
+    return MADE.setdefault(spark._jsparkSession.sessionUUID(), [])
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    MADE.append(f"{shared_folder(spark)}/skarn-{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    made_by(spark).append(f"{shared_folder(spark)}/skarn-{name}-{uuid.uuid4().hex}")
+    return made_by(spark)[-1]
 
 
 def release(spark: SparkSession) -> int:
-    """Deletes the intermediate folders of this session, once their results are written elsewhere."""
+    """Deletes the intermediate folders of this session, once their results are written elsewhere; those of others stay."""
     jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while MADE:
-        path = jvm.org.apache.hadoop.fs.Path(MADE.pop())
+    made = made_by(spark)
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 

@@ -4,7 +4,8 @@ A lexicon is learned first: words and word prefixes whose share of toxic documen
 features of a whole text are its lexicon densities (plain, and for words that match only with their disguise taken
 off), how near lexicon words stand to second-person words, and rates of capitals, punctuation and
 disguised or stretched words. Boosted trees on their histograms give margins, and an isotonic regression on rows
-that the trees have not seen turns margins into chances.
+that the trees have not seen turns margins into chances. The score is that chance plus 1e-4 times the hyperbolic tangent of a quarter of
+the margin, so that rows within a step of the calibration are ranked, and is kept within 0 and 1.
 
 For the rows that the trees learn from, lexicon weights are counted without the row's own fold, so that a row does not
 vouch for its own words.
