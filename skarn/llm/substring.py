@@ -159,7 +159,7 @@ def planes(rows: np.ndarray, starts: np.ndarray) -> list[bytes]:
     packer = ZstdCompressor(level=1)
     return [
         packer.compress(np.ascontiguousarray(rows[a:b].T).tobytes())
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)
+        for a, b in zip(starts.tolist(), np.append(starts, len(rows))[1:].tolist(), strict=True)
     ]
 
 
