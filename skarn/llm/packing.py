@@ -216,7 +216,8 @@ def pack(
     task holds all pieces of a common length.
     """
     tokenizer = tokenizer or tokenizer_path()
-    pieces = written(token_pieces(docs, tokenizer, end_id, size), "pieces")
+    # the number of a row is settled with the table, and deals out rows that are equal in all else
+    pieces = written(token_pieces(docs, tokenizer, end_id, size).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {
         int(r["length"]): int(r["n"])
         for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # <= size rows
@@ -225,14 +226,14 @@ def pack(
     where = places(plan_columns(histogram, size, rounds))
     groups = max(8, total // group_rows)
     grouped = pieces.withColumn(
-        "_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("int")
+        "_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int")
     )
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     firsts = (
         grouped.groupBy("length", "_group").agg(F.count("*").alias("_n"))
         .select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     )
-    inside = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "_group").orderBy("_row")
     ranked = (
         grouped.withColumn("_rank", F.row_number().over(inside) - 1)
         .join(firsts, ["length", "_group"])
