@@ -15,7 +15,7 @@ Layout of a token folder:
 A reader decodes all stretches between checkpoints in lockstep by one table look-up an id.
 
 Null texts count as empty and hold only the end id. A null doc_id sorts first. Repeated doc_ids
-stay side by side in one file, in a fixed order. Extra columns are ignored. An empty table gives a folder
+stay side by side, in one file or, where they are very many, in neighbouring ones. Extra columns are ignored. An empty table gives a folder
 without blocks.
 """
 
@@ -34,6 +34,7 @@ from skarn.llm.encoding import batches, bulk_encoder, tokenizer_path
 VERSION = 1
 STRIDE = 256
 LIMIT = 18
+NO_ID = -(1 << 63)  # stands for a null doc_id where files are dealt out
 BLOCK_TOKENS = 1 << 19
 FILE_TOKENS = 1 << 23
 MOST_FILES = 50_000  # their bounds are found on the driver; beyond it files hold more
@@ -43,6 +44,15 @@ BLOCKS = (
 )
 
 
+def file_numbers(cuts: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+    """The file of each row, ascending with doc_id; rows of a doc_id that fills several files are dealt to them in turn."""
+    last = np.searchsorted(cuts, doc_ids, side="right")
+    first = np.searchsorted(cuts, doc_ids, side="left")
+    exact = (np.abs(doc_ids) < 1 << 53) | (doc_ids == NO_ID)  # cuts are found in double precision
+    first = np.where(exact, first, last)
+    return first + np.arange(len(doc_ids)) % (last - first + 1)
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Lengths of an optimal prefix code of at most ``limit`` bits (package-merge)."""
     used = np.flatnonzero(counts)
@@ -228,8 +238,9 @@ def write_token_files(
     ).coalesce(1).write.parquet(f"{path}/format")
 
     files = min(MOST_FILES, max(1, -(-int(counts.sum()) // file_tokens)))
+    ids = staged.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
     cuts = np.array(
-        staged.approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files) if files > 1 else []
+        ids.approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files) if files > 1 else []
     ).astype(np.int64)
 
     def make():
@@ -246,7 +257,7 @@ def write_token_files(
                 offsets = np.concatenate([[0], np.cumsum(n[lo:hi])])
                 data, starts, marks = huffman_encode(ids, offsets, table, bits, stride)
                 doc_ids = batch.column(0).slice(lo, hi - lo)
-                file_no = np.searchsorted(cuts, doc_ids.fill_null(-(1 << 63)).to_numpy(), side="right")
+                file_no = file_numbers(cuts, doc_ids.fill_null(NO_ID).to_numpy())
                 raw, ends = data.tobytes(), starts.tolist()
                 bodies = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.record_batch(
