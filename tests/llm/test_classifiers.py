@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skarn.llm import quality, toxicity
 from skarn.llm.textstats import WordTable
@@ -91,3 +92,93 @@ def test_shrinkage_makes_covariances_usable():
     rows = np.ones((5, 3))
     rows[:, 0] = [1, 2, 3, 4, 5]
     np.linalg.cholesky(quality.shrunk_covariance(rows, rows.mean(0)))
+
+
+def test_scores_are_log_density_differences():
+    draw = np.random.default_rng(5)
+    rows = np.abs(draw.standard_normal((300, len(quality.STATISTICS)))) + 0.1
+    rows[:, 0] = np.log1p(draw.integers(5, 400, 300))
+    labels = (rows[:, 3] + 0.3 * draw.standard_normal(300) > 1.0).astype(int)
+    rows[labels == 1, 5] += 1.0
+    model = quality.Discriminant(rows, labels)
+    words = np.expm1(rows[:, :1])
+    z = np.clip((rows - np.median(rows, axis=0)) / np.maximum(rows.std(0), 1e-3), -8, 8) * (words / (words + quality.SHORT))
+    odds = np.log((labels.sum() + 2.0) / ((1 - labels).sum() + 0.5))
+    log_density = []
+    for own in (z[labels == 0], z[labels == 1]):
+        mean = own.mean(0)
+        x = own - mean
+        n, p = x.shape
+        sample = sum(np.outer(r, r) for r in x) / n
+        scale = np.trace(sample) / p
+        noise = sum(((np.outer(r, r) - sample) ** 2).sum() for r in x) / n**2
+        share = min(1.0, max(0.02, noise / ((sample - scale * np.eye(p)) ** 2).sum()))
+        covariance = (1 - share) * sample + share * scale * np.eye(p)
+        sign, log_det = np.linalg.slogdet(covariance)
+        assert sign > 0
+        log_density.append([-0.5 * log_det - 0.5 * (r - mean) @ np.linalg.solve(covariance, r - mean) for r in z])
+    margin = odds + np.array(log_density[1]) - np.array(log_density[0])
+    assert np.allclose(model.score(rows), 1 / (1 + np.exp(-np.clip(margin, -60, 60))), atol=1e-8)
+
+
+def split_gain(slope, bend, left, l2=1.0):
+    def part(mask):
+        return slope[mask].sum() ** 2 / (bend[mask].sum() + l2)
+
+    return part(left) + part(~left) - part(np.ones(len(slope), bool))
+
+
+def test_a_tree_takes_the_best_of_all_splits():
+    draw = np.random.default_rng(2)
+    rows = draw.integers(0, 12, (200, 3)).astype(float)  # so few values that each is a cut
+    label = ((rows[:, 0] > 6) & (rows[:, 2] > 3) | (rows[:, 1] > 9)).astype(float)
+    trees = toxicity.Trees(rounds=1, depth=2).fit(rows, label)
+    base = np.log((label.sum() + 0.5) / (len(label) - label.sum() + 0.5))
+    chance = 1 / (1 + np.exp(-np.full(len(label), base)))
+    slope, bend = chance - label, chance * (1 - chance)
+
+    def best(some):
+        return max((split_gain(slope[some], bend[some], rows[some, k] <= c), -k, -c) for k in range(3) for c in np.unique(rows[some, k])[:-1])
+
+    def taken(some, node):
+        return split_gain(slope[some], bend[some], rows[some, trees.feature[0, node]] <= trees.cut[0, node])
+
+    every = np.arange(len(label))
+    assert np.isclose(taken(every, 0), best(every)[0])
+    right = rows[:, trees.feature[0, 0]] > trees.cut[0, 0]
+    for node, some in ((1, every[~right]), (2, every[right])):
+        assert np.isclose(taken(some, node), best(some)[0])
+    for row, margin in zip(rows, trees.margin(rows), strict=True):
+        node = 0
+        for _ in range(2):
+            node = 2 * node + 1 + int(row[trees.feature[0, node]] > trees.cut[0, node])
+        own = np.array([_leaf(trees, r) == node - 3 for r in rows])
+        assert np.isclose(margin, base - 0.15 * slope[own].sum() / (bend[own].sum() + 1.0))
+
+
+def _leaf(trees, row):
+    node = 0
+    for _ in range(2):
+        node = 2 * node + 1 + int(row[trees.feature[0, node]] > trees.cut[0, node])
+    return node - 3
+
+
+def test_isotonic_against_the_min_max_formula():
+    draw = np.random.default_rng(7)
+    for _ in range(20):
+        x = np.sort(draw.standard_normal(25))
+        y = (draw.random(25) < 0.3 + 0.1 * x).astype(float)
+        knots, chances = toxicity.isotonic(x, y)
+        best = np.array([max(min(y[a : b + 1].mean() for b in range(k, 25)) for a in range(k + 1)) for k in range(25)])
+        pools = np.unique(best)
+        sums = np.array([[y[best == v].sum(), (best == v).sum(), x[best == v].mean()] for v in pools])
+        assert np.allclose(knots, sums[:, 2]) and np.allclose(chances, (sums[:, 0] + 0.02) / (sums[:, 1] + 0.04))
+
+
+def test_one_row_of_a_repeated_id_teaches(spark):
+    rows, labels = corpus(60)
+    docs, told = frames(spark, rows + [(1, f"other text {k}", "x", 1.0, "y") for k in range(500)], labels)
+    sample = quality.labelled_sample(docs, told, "quality", F.lit(True), 1000)
+    assert sample.count() == 60 and sample.columns == ["doc_id", "text", "label"]
+    again = quality.labelled_sample(docs.repartition(7), told, "quality", F.lit(True), 1000)
+    assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, again.collect()))

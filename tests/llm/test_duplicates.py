@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skarn.llm import embedding_dups, nearest, simhash, substring
+from skarn.llm import embedding_dups, nearest, similar, simhash, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, fp string, node int, places string, text_hash string"
@@ -101,8 +101,85 @@ def test_null_ids_and_empty_tables(spark):
     found = simhash.near_duplicates(documents(spark, rows)).collect()
     assert len(found) == 4 and sorted(str(r["component_id"]) for r in found) == ["3", "3", "3", "None"]
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
-    kept = simhash.first_of_each_group(documents(spark, [(1, "a"), (2, "a"), (2, "a"), (5, "b")]))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
+
+
+def test_finer_tiles_give_the_same_components():
+    draw = np.random.default_rng(3)
+    fps = np.unique((np.uint64(7) << np.uint64(32)) | draw.integers(0, 1 << 11, 900).astype(np.uint64) << np.uint64(9))
+    visitor = np.bitwise_count(fps) % 3 == 0
+
+    def components(most):
+        left, right = simhash.tile_edges(fps, visitor, 2, most)
+        return groups(fps.tolist(), zip(left.tolist(), right.tolist(), strict=True))
+
+    assert components(10) == components(10**6)
+
+
+def test_whole_tiles_are_cut_between_their_values():
+    import pyarrow as pa
+
+    values = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5]
+    for size in (1, 2, 3, 4, 11):
+        parts = [pa.record_batch([pa.array(values[k : k + size])], names=["tile"]) for k in range(0, len(values), size)]
+        tiles = [c[0].tolist() for c in simhash.whole_tiles(iter(parts))]
+        assert sum(tiles, []) == values
+        assert all(not set(a) & set(b) for a, b in zip(tiles, tiles[1:], strict=False))
+
+
+def jaccard(a, b):
+    def shingles(t):
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    x, y = shingles(a), shingles(b)
+    return 1.0 if x == y else len(x & y) / len(x | y)
+
+
+def similar_corpus(seed):
+    draw = random.Random(seed)
+    words = [f"k{k}" for k in range(5000)]
+    base = [[draw.choice(words) for _ in range(draw.randint(150, 400))] for _ in range(40)]
+    texts = [" ".join(b) for b in base]
+    for k, b in enumerate(base):  # from hardly changed to much changed copies
+        for changes in (1, 3, 1 + k // 2, 5 + k):
+            own = list(b)
+            for _ in range(changes):
+                own[draw.randrange(len(own))] = "CHANGED"
+            texts.append(" \n".join(own))
+    return list(enumerate([*texts, texts[0].upper(), None, "", "one two", "One TWO", "one three"]))
+
+
+@pytest.mark.parametrize("part_rows", [similar.PART, 8])
+def test_similar_groups_match_brute_force_but_for_the_estimate_s_error(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(similar, "PART", part_rows)
+    monkeypatch.setattr(similar.links, "__defaults__", (part_rows,))
+    docs = similar_corpus(6)
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(documents(spark, docs)).collect()}
+    texts = dict(docs)
+    pairs = [(a, b, jaccard(texts[a], texts[b])) for a in texts for b in texts if a < b]
+    sure = groups(found, [(a, b) for a, b, j in pairs if j >= 0.85])
+    most = groups(found, [(a, b) for a, b, j in pairs if j >= 0.7])
+    for a, b, _ in pairs:
+        if sure[a] == sure[b]:
+            assert found[a] == found[b]
+        if found[a] == found[b]:
+            assert most[a] == most[b]
+    near = [(a, b) for a, b, j in pairs if 0.8 <= j < 0.85]
+    assert len(near) > 20 and np.mean([found[a] == found[b] for a, b in near]) > 0.85
+
+
+def test_first_of_each_group_tells_rows_of_one_id_apart(spark):
+    long = " ".join(f"q{k}" for k in range(120))
+    rows = [
+        (5, "first text here"), (5, "a wholly different second text"), (5, "first text here"), (7, "First\ttext HERE"),
+        (None, long), (9, long + " end"), (None, "no id and no copy"), (None, None), (3, ""),
+    ]
+    kept = similar.first_of_each_group(documents(spark, rows))
+    assert kept.columns == documents(spark, rows).columns
+    assert sorted(((r["doc_id"] or -1, r["text"]) for r in kept.collect())) == sorted(
+        [(5, "first text here"), (5, "a wholly different second text"), (9, long + " end"), (-1, "no id and no copy"), (3, "")]
+    )
+    assert similar.first_of_each_group(documents(spark, [])).count() == 0
 
 
 def brute_removed(docs, window):
@@ -165,6 +242,24 @@ def test_repeated_rows_null_ids_and_kept_text(spark):
     assert substring.remove_repeated(documents(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_do_not_share_places_by_a_short_hash(spark):
+    """Two of many texts without a doc_id have the same 32-bit hash; only one of them repeats."""
+    made = spark.range(400_000).select(F.concat_ws(" ", *[F.concat(F.lit(f"{chr(97 + k)}"), F.col("id") * (k + 1)) for k in range(40)]).alias("text"))
+    twins = made.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).where("size(t) = 2").orderBy("h").first()["t"]
+    docs = [(None, twins[0]), (None, twins[1]), (1, "before " + twins[0]), (None, "other"), (2, twins[0] + " after")]
+    found = substring.remove_repeated(documents(spark, docs), with_text=True).collect()
+    assert sorted(r["n_removed"] for r in found) == [0, 0, 40, 40, 40]
+    assert {r["kept_text"] for r in found if not r["n_removed"]} == {twins[1], "other"}
+
+
+def test_very_many_equal_rows_and_very_long_texts(spark):
+    text = " ".join(f"u{k}" for k in range(60))
+    once = " ".join(f"z{k}" for k in range(200_000))
+    docs = documents(spark, [(None, text)] * 3000 + [(4, text)] * 3000 + [(8, once), (9, "pre " + text)])
+    found = substring.remove_repeated(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"], r["count"]) for r in found} == {(None, 60, 60, 3000), (4, 60, 60, 3000), (8, 200_000, 0, 1), (9, 61, 60, 1)}
+
+
 def vectors(seed, n=300, size=24):
     draw = np.random.default_rng(seed)
     rows, label = [], 0
@@ -213,7 +308,18 @@ def test_nearest_match_brute_force(spark):
         near = sorted((float(np.linalg.norm(np.array(q[1]) - np.array(c[1]))), c[0]) for c in good if c[0] != q[0] and len(c[1]) == len(q[1]))[:10]
         own = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q[0])
         assert [x[1] for x in own] == [i for _, i in near] and np.allclose([x[2] for x in own], [d for d, _ in near], rtol=1e-12)
-    few = df.where("vec_id < 3")
+    few = df.where("vec_id < 3")  # and so are vectors whose squares leave the range of doubles
+    for power in (540, -540, 1000):
+        far = df.where("embedding is not null and forall(embedding, x -> x is not null)").withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(2.0**power)))
+        scaled = nearest.nearest(far, far.where("vec_id % 100 = 0"), candidate_rows=50).collect()
+        by_rank = {(r["query_id"], r["rank"]): r for r in found if r["query_id"] < 1000}
+        for r in scaled:
+            if (r["query_id"], r["rank"]) in by_rank:
+                near = by_rank[r["query_id"], r["rank"]]
+                assert r["vec_id"] == near["vec_id"] and np.isclose(r["score"] * 2.0**-power, near["score"], rtol=1e-12)
+        assert len(scaled) >= len(by_rank) > 0
+    same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(3000)] + [(5000, [1.0, 2.5])], "vec_id long, embedding array<double>")
+    ties = nearest.nearest(same, same.where("vec_id in (0, 5000)"), candidate_rows=700).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in ties} == {(q, k + 1, v + k) for q, v in ((0, 1), (5000, 0)) for k in range(10)}
     assert nearest.nearest(few, few.where("vec_id = 0")).count() == 2
     assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
-    assert F

@@ -119,10 +119,27 @@ def test_section_token_counts(spark, rule):
     assert token_counts.section_token_counts(documents(spark, [])).count() == 0
 
 
-def test_field_token_counts(spark):
-    df = spark.createDataFrame([(7, "one two", None)], "k long, a string, b string")
-    found = {r["field"]: r["n_tokens"] for r in token_counts.field_token_counts(df, "k", ["a", "b"]).collect()}
-    assert set(found) == {"a", "b"} and found["a"] >= len(ids_of("one two"))
+@pytest.mark.parametrize("rule", ["first", "most", "share"])
+def test_field_token_counts(spark, rule):
+    rows = [("x", "one two\x1e three\n\n", None, "é日本"), (None, "", "", ""), ("y", None, "\n \n", "don\x1et"), ("y", "a" * 3000, " b", "")]
+    df = spark.createDataFrame(rows, "k string, a string, b string, c string")
+    found = token_counts.field_token_counts(df, "k", ["a", "b", "c"], rule=rule).collect()
+    assert len(found) == 3 * len(rows) and {r["doc_id"] for r in found} == {"x", "y", None}
+    whole = sum(len(ids_of("".join((f or "") + "\n" for f in r[1:]))) for r in rows)
+    assert sum(r["n_tokens"] for r in found) == pytest.approx(whole)
+    # a token belongs to the field that holds its first byte
+    if rule == "first":
+        text = "".join((f or "") + "\n" for f in rows[0][1:])
+        ends = np.cumsum([len(((f or "") + "\n").encode()) for f in rows[0][1:]])
+        sizes = [len(b) for b in token_bytes(ids_of(text))]
+        begins = np.cumsum(sizes) - sizes
+        expected = np.bincount(np.searchsorted(ends, begins, side="right"), minlength=3).tolist()
+        assert [r["n_tokens"] for f in "abc" for r in found if r["doc_id"] == "x" and r["field"] == f] == expected
+
+
+def token_bytes(ids):
+    encoder = bpe.backtracking_encoder(PATH)
+    return [bytes(encoder.token_pool[encoder.token_starts[i] : encoder.token_starts[i] + encoder.token_sizes[i]]) for i in ids]
 
 
 def test_code_lengths_are_optimal_and_limited():
@@ -228,3 +245,72 @@ def test_plan_holds_the_histogram_and_is_near_the_bound(kind):
 
 def test_bulk_encoder_is_shared():
     assert bulk_encoder(PATH) is bulk_encoder(PATH)
+
+
+def fewest_sequences(lengths, size):
+    """The least number of sequences, by trying all ways to fill one with the longest piece left."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def least(left):
+        if not left:
+            return 0
+        first, rest = left[0], left[1:]
+        ways = {rest}
+
+        def fill(room, at, kept):
+            ways.add(tuple(kept) + rest[at:])
+            for k in range(at, len(rest)):
+                if rest[k] <= room:
+                    fill(room - rest[k], k + 1, [*kept, *rest[at:k]])
+                    fill(room, k + 1, [*kept, *rest[at : k + 1]])
+                    return
+
+        fill(size - first, 0, [])
+        return 1 + min(least(w) for w in ways if len(w) < len(left))
+
+    return least(tuple(sorted(lengths, reverse=True)))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plans_against_the_exact_optimum_of_small_instances(seed):
+    draw = random.Random(seed)
+    size = 30
+    lengths = [draw.randint(3, 20) for _ in range(draw.randint(1, 11))]
+    plan = packing.plan_columns({x: lengths.count(x) for x in set(lengths)}, size)
+    assert sorted(x for column, n in plan for x, t in column for _ in range(n * t)) == sorted(lengths)
+    assert all(sum(x * t for x, t in column) <= size for column, _ in plan)
+    least = fewest_sequences(lengths, size)
+    assert least <= sum(n for _, n in plan) <= least + (1 if least > 2 else 0)
+
+
+def test_packing_of_very_many_equal_rows(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 3000 + [(1, "x " * 5000)] * 2, "doc_id long, text string")
+    rows = packing.pack(docs, group_rows=500).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) and sum(r["doc_id"] is None for r in rows) == 3000
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == 2 * (len(ids_of("x " * 5000)) + 1)
+
+
+def test_rows_of_one_id_are_dealt_to_neighbouring_files(spark, tmp_path):
+    texts = [(None, f"a b c {k % 7}") for k in range(900)] + [(5, "same text")] * 900 + [(k, "other " * (k % 9)) for k in range(10, 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    path = f"file://{tmp_path}/tokens"
+    token_files.write_token_files(docs, path, file_tokens=400, block_tokens=100)
+    held = spark.read.parquet(f"{path}/blocks").selectExpr("file_no", "n_tokens").groupBy("file_no").sum("n_tokens").collect()
+    assert len(held) > 5 and max(r[1] for r in held) < 0.5 * sum(r[1] for r in held)
+    rows = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] or -1 for r in rows] == sorted((i or -1) for i, _ in texts)
+    assert sum(r["n_tokens"] for r in rows[:-1]) == rows[-1]["start"]
+    got, own = sorted((r["doc_id"] or -1, tuple(r["ids"])) for r in rows), sorted((i or -1, (*ids_of(t), 2)) for i, t in texts)
+    assert got == own
+
+
+def test_file_numbers_ascend_with_ids():
+    draw = np.random.default_rng(1)
+    for _ in range(50):
+        ids = np.sort(draw.integers(-5, 6, 200))
+        cuts = np.sort(draw.integers(-5, 6, 7))
+        numbers = token_files.file_numbers(cuts, ids)
+        for i in np.unique(ids):
+            own = numbers[ids == i]
+            assert numbers[ids < i].max(initial=0) <= own.min() and own.max() <= numbers[ids > i].min(initial=7)
