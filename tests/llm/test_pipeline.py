@@ -22,6 +22,9 @@ def folder(spark, tmp_path_factory):
             text = f"{text} {passage} {draw.choice(words)}"
         rows.append((k, text, "en", "s", len(text), f"extra{k}", k))
         labels.append((k, int(k % 10 != 2), int(k % 10 == 1)))
+    near = rows[5][1].split(" ")
+    near[10] = "changed"
+    rows += [(1003, " ".join(near), "en", "s", 1, None, 1), (1004, rows[5][1] + " more", "en", "s", 1, None, 1), (0, rows[6][1].replace(" ", " so "), "en", "s", 1, None, 2)]
     rows += [(1000, rows[0][1], "en", "s", 1, "copy", 1), (1001, "", "en", "s", 0, None, None), (1002, None, None, None, None, None, None)]
     path = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string, places int").write.parquet(f"{path}/documents.parquet")
@@ -46,6 +49,7 @@ def test_stages(spark, folder):
             assert sum(i % 10 == 1 for i in gone if i < 1000) >= 25 and sum(i % 10 != 1 for i in gone if i < 1000) <= 6
         if name == "near_duplicates":
             assert 1000 in gone and 0 in after
+            assert {1003, 1004} <= gone and 5 in after and docs.where("doc_id = 0").count() == 2  # near copies go; another text of an id stays
         if name == "substrings":
             assert not gone and all("shared30" not in (r["text"] or "") for r in after.values())
             assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in after.values())
@@ -66,8 +70,11 @@ def test_release_deletes_intermediate_folders(spark, folder):
     from skarn.llm import common
 
     assert common.written(spark.range(3), "range").count() == 3
-    made = len(common.MADE)
-    assert common.release(spark) == made >= 1 and not common.MADE
+    other = spark.newSession()
+    theirs = common.written(other.range(2), "range")
+    made = len(common.made_by(spark))
+    assert common.release(spark) == made >= 1 and not common.made_by(spark)
+    assert theirs.count() == 2 and common.release(other) == 1
 
 
 def test_queries_are_registered():
