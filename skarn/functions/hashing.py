@@ -28,8 +28,34 @@ def record_order(record_id: Column) -> Column:
 
 
 def canonical_json(value) -> str:
-    """Sorted keys, compact, non-ASCII kept, no NaN."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    """Sorted keys, compact, non-ASCII kept, no NaN; values may be nested to any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    except RecursionError:
+        pass
+    out, left = [], [value]
+    while left:  # texts that are marked as done, and values still to be written
+        now = left.pop()
+        if isinstance(now, _Written):
+            out.append(now.text)
+        elif isinstance(now, dict):
+            parts = [x for k in sorted(now) for x in (_Written(f",{json.dumps(k, ensure_ascii=False)}:"), now[k])]
+            if parts:
+                parts[0] = _Written(parts[0].text[1:])
+            left += [_Written("}"), *reversed(parts), _Written("{")]
+        elif isinstance(now, (list, tuple)):
+            parts = [x for v in now for x in (_Written(","), v)][1:]
+            left += [_Written("]"), *reversed(parts), _Written("[")]
+        else:
+            out.append(json.dumps(now, ensure_ascii=False, allow_nan=False))
+    return "".join(out)
+
+
+class _Written:
+    __slots__ = ("text",)
+
+    def __init__(self, text: str):
+        self.text = text
 
 
 @pandas_udf(StringType())

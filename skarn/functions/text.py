@@ -57,7 +57,7 @@ def normalize_text(text: Column) -> Column:
 
 def normalize_inline(text: Column) -> Column:
     """As ``normalize_text``, on one line."""
-    return normalize_text(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\r\\n]", " "))
+    return normalize_text(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")))
 
 
 def normalized_title(text: Column) -> Column:

@@ -16,10 +16,14 @@ BLOCKS = frozenset("p div section article blockquote figure details summary".spl
 
 
 class Element:
-    __slots__ = ("attrs", "children", "name")
+    """``box`` and ``picture``: the first checkbox and image below, which the builder finds on its way."""
+
+    __slots__ = ("attrs", "box", "children", "name", "picture")
 
     def __init__(self, name: str, attrs: dict | None = None):
         self.name, self.attrs, self.children = name, attrs or {}, []
+        self.box: Element | None = None
+        self.picture: Element | None = None
 
     def find_all(self, *names: str):
         """All elements of these names below, in document order."""
@@ -48,14 +52,24 @@ class Builder(HTMLParser):
         self.root = Element("")
         self.open = [self.root]
 
-    def handle_starttag(self, tag, attrs):
+    def add(self, tag, attrs) -> Element:
         element = Element(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(element)
+        kind = "picture" if tag == "img" else "box" if tag == "input" and element.attrs.get("type") == "checkbox" else None
+        if kind:
+            for outer in reversed(self.open):
+                if getattr(outer, kind) is not None:
+                    break  # and so have all around it
+                setattr(outer, kind, element)
+        return element
+
+    def handle_starttag(self, tag, attrs):
+        element = self.add(tag, attrs)
         if tag not in VOID:
             self.open.append(element)
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}))
+        self.add(tag, attrs)
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, 0, -1):
@@ -75,29 +89,33 @@ def build(html: str) -> Element:
 
 
 class Reader:
-    """Blocks of an element's children; text and links between blocks gather in one run."""
+    """Blocks of an element's children; text and links between blocks gather in one run.
+
+    Methods that go down the tree are generators for ``model.unwound``, so that bodies may nest to any depth.
+    """
 
     def __init__(self, resources: dict[str, str]):
         self.resources = resources
         self.out: list[dict] = []
         self.run: list[tuple[str, str]] = []
+        self.hrefs: list[str] = []
 
     def flush(self, level: int = 0) -> None:
+        """The run as a block; a link without any text is a block too."""
         text, spans = model.text_with_spans(self.run)
-        self.run = []
-        if text:
-            hrefs = list(dict.fromkeys(s["href"] for s in spans))
+        hrefs, self.run, self.hrefs = self.hrefs, [], []
+        if text or hrefs:
             more = {"level": level} if level else {}
             self.out.append(model.textual("heading" if level else "paragraph", text, hrefs, spans, **more))
 
-    def nested(self, element: Element) -> list[dict]:
+    def nested(self, element: Element):
         inner = Reader(self.resources)
         for child in element.children:
-            inner.block(child)
+            yield inner.block(child)
         inner.flush()
         return inner.out
 
-    def block(self, node) -> None:
+    def block(self, node):
         if isinstance(node, str):
             self.run.append((node, ""))
             return
@@ -106,22 +124,18 @@ class Reader:
             return
         if len(name) == 2 and name[0] == "h" and name[1] in "123456":
             self.flush()
-            title = Reader(self.resources)
-            title.inside(node, "")
-            media = title.out
-            title.out = []
-            title.flush(int(name[1]))
-            self.out += media + title.out
+            yield self.inside(node, "")
+            self.flush(int(name[1]))
         elif name == "br":
             self.run.append(("\n", ""))
         elif name == "hr":
             self.flush()
         elif name in ("ul", "ol"):
             self.flush()
-            self.out.append(self.list_of(node))
+            self.out.append((yield self.list_of(node)))
         elif name == "table":
             self.flush()
-            self.out.append(self.table_of(node))
+            self.out.append((yield self.table_of(node)))
         elif name == "pre":
             self.flush()
             code = next(node.find_all("code"), None)
@@ -133,14 +147,14 @@ class Reader:
             self.out.append(self.image(node))
         elif name in BLOCKS:
             self.flush()
-            self.out += self.nested(node)
+            self.out += yield self.nested(node)
         elif name == "a":
-            self.link(node)
+            yield self.link(node)
         else:
-            self.inside(node, "")
+            yield self.inside(node, "")
 
-    def inside(self, element: Element, href: str) -> None:
-        """Inline content; blocks in it are flattened without a break."""
+    def inside(self, element: Element, href: str):
+        """Inline content; blocks in it are flattened without a break, and an image ends the paragraph before it."""
         for child in element.children:
             if isinstance(child, str):
                 self.run.append((child, href))
@@ -149,48 +163,53 @@ class Reader:
             elif child.name == "br":
                 self.run.append(("\n", href))
             elif child.name == "img":
+                self.flush()
                 self.out.append(self.image(child))
             elif child.name == "a":
-                self.link(child)
+                yield self.link(child)
             else:
-                self.inside(child, href)
+                yield self.inside(child, href)
 
-    def link(self, element: Element) -> None:
+    def link(self, element: Element):
         href = element.attrs.get("href", "").strip()
-        if href.startswith(":/") and next(element.find_all("img"), None) is None:
+        if href.startswith(":/") and element.picture is None:
             self.flush()
             name = model.inline_text(element.text())
             self.out.append({"kind": "attachment", "hash": self.resources.get(href[2:]), "name": name, "reference": href})
         else:
-            self.inside(element, href)
+            if href:
+                self.hrefs.append(href)
+            yield self.inside(element, href)
 
     def image(self, element: Element) -> dict:
-        source = element.attrs.get("src", "")
+        source = element.attrs.get("src", "").strip()
         found = self.resources.get(source.removeprefix(":/"))
         return {"kind": "image", "hash": found, "alt": model.inline_text(element.attrs.get("alt", "")), "reference": source}
 
-    def list_of(self, element: Element) -> dict:
+    def list_of(self, element: Element):
         items = []
         for li in element.children:
             if isinstance(li, Element) and li.name == "li":
-                box = next((i for i in li.find_all("input") if i.attrs.get("type", "").lower() == "checkbox"), None)
-                task = "task-list-item" in li.attrs.get("class", "").split()
+                box, task = li.box, "task-list-item" in li.attrs.get("class", "").split()
                 checked = None if box is None and not task else box is not None and "checked" in box.attrs
-                items.append({"kind": "list_item", "checked": checked, "children": self.nested(li)})
+                items.append({"kind": "list_item", "checked": checked, "children": (yield self.nested(li))})
         return {"kind": "list", "ordered": element.name == "ol", "items": items}
 
-    def table_of(self, element: Element) -> dict:
+    def table_of(self, element: Element):
         rows = []
         stack = list(reversed(element.children))
-        while stack:  # rows of this table, not of one inside a cell
+        while stack:  # rows of this table, not of one inside a cell; a row without cells is none
             now = stack.pop()
             if not isinstance(now, Element) or now.name == "table":
                 continue
             if now.name == "tr":
-                cells = [c for c in now.children if isinstance(c, Element) and c.name in ("td", "th")]
-                rows.append([{"kind": "cell", "children": self.nested(c)} for c in cells])
-            else:
-                stack.extend(reversed(now.children))
+                cells = []
+                for c in now.children:
+                    if isinstance(c, Element) and c.name in ("td", "th"):
+                        cells.append({"kind": "cell", "children": (yield self.nested(c))})
+                if cells:
+                    rows.append(cells)
+            stack.extend(reversed(now.children))
         return {"kind": "table", "rows": rows}
 
 
@@ -198,11 +217,19 @@ def parse(html: str, resources: dict[str, str] | None = None) -> dict:
     """The tree of an HTML body, or of the whole text where it has none."""
     root = build(html)
     body = next(root.find_all("body"), root)
-    return model.doc(Reader(resources or {}).nested(body))
-
-
-def fragment(html: str, resources: dict[str, str] | None = None) -> tuple[list[tuple[str, str]], list[dict]]:
-    """Runs and media of inline HTML."""
-    reader = Reader(resources or {})
-    reader.inside(build(html), "")
-    return reader.run, reader.out
+    return model.doc(model.unwound(Reader(resources or {}).nested(body)))
+
+
+def fragment(html: str, resources: dict[str, str] | None = None) -> tuple[str, list[str], list[dict], list[dict]]:
+    """Text of a piece of HTML (its paragraphs and headings, a line each), its links, their spans, and all other blocks."""
+    lines, hrefs, spans, others, at = [], [], [], [], 0
+    for block in model.unwound(Reader(resources or {}).nested(build(html))):
+        if block["kind"] not in ("paragraph", "heading"):
+            others.append(block)
+            continue
+        hrefs += block["links"]
+        if block["text"]:
+            spans += [span | {"start": span["start"] + at, "end": span["end"] + at} for span in block["link_spans"]]
+            lines.append(block["text"])
+            at += len(block["text"]) + 1
+    return "\n".join(lines), hrefs, spans, others

@@ -15,7 +15,20 @@ ITEM = re.compile(r"( {0,3})([-*+]|\d{1,9}[.)])([ \t]+|$)")
 QUOTE = re.compile(r" {0,3}> ?")
 SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 DIVIDER = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-HTML_BLOCK = re.compile(r" {0,3}<(?:/?[a-zA-Z][a-zA-Z0-9-]*[\s/>]|!--|/?[a-zA-Z][a-zA-Z0-9-]*$)")
+#: Elements that begin an HTML block wherever a line begins with their tag (fixed values).
+BLOCK_NAMES = (
+    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer "
+    "form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search "
+    "section summary table tbody td tfoot th thead title tr track ul"
+).split()
+BLOCK_TAG = re.compile(rf" {{0,3}}</?(?:{'|'.join(BLOCK_NAMES)})(?:[ \t]|/?>|$)", re.IGNORECASE)
+#: Openings of HTML blocks that end with a line that holds their end, and that end.
+RAW = [
+    (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:[ \t>]|$)", re.IGNORECASE), re.compile(r"</(?:script|pre|style|textarea)>", re.IGNORECASE)),
+    (re.compile(r" {0,3}<!--"), re.compile("-->")), (re.compile(r" {0,3}<\?"), re.compile(r"\?>")),
+    (re.compile(r" {0,3}<!\[CDATA\["), re.compile(r"\]\]>")), (re.compile(r" {0,3}<![A-Za-z]"), re.compile(">")),
+]
+LONE_TAG = re.compile(r""" {0,3}(?:<[a-zA-Z][a-zA-Z0-9-]*(?:\s+[a-zA-Z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?>|</[a-zA-Z][a-zA-Z0-9-]*\s*>)[ \t]*$""")
 TASK = re.compile(r"\[([ xX])\][ \t]+")
 INLINE = re.compile(
     r"\\([!-/:-@\[-`{-~])"  # 1: escaped mark
@@ -30,10 +43,11 @@ INLINE = re.compile(
 )
 
 
-def inline(text: str, resources: dict[str, str], href: str = "") -> tuple[list[tuple[str, str]], list[dict]]:
-    """Runs (text, href), and the media between them."""
+def inline(text: str, resources: dict[str, str], href: str = "") -> tuple[list[tuple[str, str]], list[dict], list[str]]:
+    """Runs (text, href), the media between them, and link targets in order."""
     runs: list[tuple[str, str]] = []
     media: list[dict] = []
+    hrefs: list[str] = []
     at = 0
     marks: list[str] = []
     for m in INLINE.finditer(text):
@@ -44,16 +58,19 @@ def inline(text: str, resources: dict[str, str], href: str = "") -> tuple[list[t
         elif m[2]:
             runs.append((m[3].replace("\n", " "), href))
         elif m[4]:
+            hrefs.append(m[4])
             runs.append((m[4], m[4]))
         elif m[5]:
-            more, found = html.fragment(m[5], resources) if m[5].startswith(("<br", "<img")) else ([], [])
-            runs += more
+            _, targets, _, found = html.fragment(m[5], resources)  # one tag: it holds no text
+            if m[5].lower().startswith("<br"):
+                runs.append(("\n", href))
+            hrefs += targets
             media += found
         elif m[6]:
             runs.append((" ", href))
         elif m[9] is not None:
             target = entities.unescape(m[9].strip("<>"))
-            inner, found = inline(m[8], resources, target)
+            inner, found, targets = inline(m[8], resources, target)
             label = model.inline_text("".join(t for t, _ in inner))
             if m[7]:
                 known = resources.get(target.removeprefix(":/"))
@@ -62,6 +79,7 @@ def inline(text: str, resources: dict[str, str], href: str = "") -> tuple[list[t
                 known = resources.get(target[2:])
                 media.append({"kind": "attachment", "hash": known, "name": label, "reference": target})
             else:
+                hrefs += ([target] if target else []) + targets
                 runs += inner
                 media += found
         elif m[10]:
@@ -81,15 +99,14 @@ def inline(text: str, resources: dict[str, str], href: str = "") -> tuple[list[t
         else:
             runs.append(("\n", href))
     runs.append((entities.unescape(text[at:]), href))
-    return runs, media
+    return runs, media, hrefs
 
 
 def textual(text: str, resources: dict[str, str], level: int = 0) -> list[dict]:
-    runs, media = inline(text.strip(), resources)
+    runs, media, hrefs = inline(text.strip(), resources)
     value, spans = model.text_with_spans(runs)
     out = []
-    if value:
-        hrefs = list(dict.fromkeys(s["href"] for s in spans))
+    if value or hrefs or level:
         more = {"level": level} if level else {}
         out.append(model.textual("heading" if level else "paragraph", value, hrefs, spans, **more))
     return out + media
@@ -104,6 +121,21 @@ def cells(line: str) -> list[str]:
     return [p.strip().replace("\\|", "|") for p in parts]
 
 
+def html_block(lines: list[str], k: int, in_paragraph: bool) -> int:
+    """The line after the HTML block that begins at line k; k if none does."""
+    for opening, ending in RAW:
+        if opening.match(lines[k]):
+            end = k
+            while end < len(lines) and not ending.search(lines[end]):
+                end += 1
+            return min(end + 1, len(lines))
+    end = k
+    if BLOCK_TAG.match(lines[k]) or (not in_paragraph and LONE_TAG.match(lines[k])):
+        while end < len(lines) and lines[end].strip():
+            end += 1
+    return end
+
+
 def blocks(lines: list[str], resources: dict[str, str]) -> list[dict]:
     out: list[dict] = []
     paragraph: list[str] = []
@@ -125,8 +157,7 @@ def blocks(lines: list[str], resources: dict[str, str]) -> list[dict]:
             stop = re.compile(rf" {{0,3}}{re.escape(m[1][0])}{{{len(m[1])},}}[ \t]*$")
             while end < len(lines) and not stop.match(lines[end]):
                 end += 1
-            language = m[2].split()[0] if m[2].split() else ""
-            out.append({"kind": "code", "language": language, "text": model.block_text("\n".join(lines[k + 1 : end]))})
+            out.append({"kind": "code", "language": m[2].strip(), "text": model.block_text("\n".join(lines[k + 1 : end]))})
             k = end + 1
         elif m := HEADING.match(line):
             close()
@@ -156,10 +187,8 @@ def blocks(lines: list[str], resources: dict[str, str]) -> list[dict]:
                 end += 1
             out.append({"kind": "table", "rows": [[{"kind": "cell", "children": textual(c, resources)} for c in row] for row in rows]})
             k = end
-        elif not paragraph and HTML_BLOCK.match(line):
-            end = k
-            while end < len(lines) and lines[end].strip():
-                end += 1
+        elif (end := html_block(lines, k, bool(paragraph))) > k:
+            close()
             out.extend(html.parse("\n".join(lines[k:end]), resources)["children"])
             k = end
         elif not paragraph and line.startswith("    "):

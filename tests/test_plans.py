@@ -171,7 +171,7 @@ def test_page_resources(spark):
     xml = '<P xmlns="x"><Image alt="i"><Data>aGk=</Data></Image><InsertedFile preferredName="f.pdf"/><InkDrawing/></P>'
     df = spark.createDataFrame([(1, xml), (2, "<broken")], "i long, xml string")
     found = scans.resources_of(df, "i", scans.page_resources(F.col("xml"))).orderBy("place").collect()
-    assert [(r["reference"], r["name"], r["content"]) for r in found] == [("image:0", "i", b"hi"), ("file:0", "f.pdf", None)]
+    assert [(r["reference"], r["name"], r["content"]) for r in found] == [("image:1", "i", b"hi"), ("file:1", "f.pdf", None)]
     assert df.select(scans.page_warnings(F.col("xml"))).first()[0] == ["unsupported OneNote object: InkDrawing x1"]
 
 
