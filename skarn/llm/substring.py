@@ -13,8 +13,8 @@ Those that occur twice are the repeated windows, no more and no less.
 Both counts pre-aggregate. A task gathers keys, and of equal keys it sends one, marked as known to be
 repeated, to the key's bucket; the other places need no counting and are dealt out evenly. So a passage
 that a third of all documents hold burdens no task. Keys travel in compressed blocks of byte planes, and a bucket is sorted and
-counted with numpy; there are as many buckets as the texts' bytes ask for. Documents are told apart by doc_id and a 64-bit hash
-of the text, those without a doc_id by 128 bits of the text. Of rows equal in both a task reads one and marks its keys as repeated.
+counted with numpy; there are as many buckets as the texts' bytes ask for. The rows are first written with a number each, which
+tells them apart whatever their doc_ids and texts are, and of which a block's records share all but the last bytes.
 
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D, unchanged. Null and empty texts have none.
 Repeated rows count as documents of their own, so they repeat each other; null doc_ids are
@@ -27,11 +27,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from skarn.llm.common import arrow_map
+from skarn.llm.common import arrow_map, written
 from skarn.llm.encoding import batches as text_ranges
 
 #: A difference cover (fixed values): differences of these give all residues modulo 21.
@@ -105,15 +105,15 @@ class Sender:
         rows, width = np.concatenate(self.held), self.key_bytes
         self.held, self.size = [], 0
         order, first = sorted_keys(rows, width)
-        rows = rows[order]
         starts = np.flatnonzero(first)
         several = np.diff(np.append(starts, len(rows))) > 1
-        one = rows[starts]
-        one[several, width + FLAGS] |= REPEATED
+        rows[order[starts[several]], width + FLAGS] |= REPEATED
+        # in the order in which they came: rows and positions then compress to next to nothing
+        one = rows[np.sort(order[starts])]
         yield self.blocks(one, first_key(one, width) % np.uint64(self.buckets), width, False)
-        others = rows[~first][:, width:]
+        others = rows[np.sort(order[~first])][:, width:]
         if len(others):
-            where = document_bucket(others, self.buckets)
+            where = row_bucket(others, self.buckets)
             yield self.blocks(others, where, 0, True)
 
     def blocks(self, rows: np.ndarray, bucket: np.ndarray, width: int, known: bool):
@@ -130,28 +130,19 @@ class Sender:
         )
 
 
-#: Bytes that tell a document: its key (doc_id, or a hash of the text), flags, hash of the text.
-DOCUMENT, FLAGS = 17, 8
-REPEATED, NO_ID = 1, 2
+#: Bytes that tell a row: its number, and a byte that marks keys of which a task has more.
+DOCUMENT, FLAGS = 9, 8
+REPEATED = 1
 
 
-def identity(doc_id: Column, text: Column) -> dict[str, Column]:
-    """What tells a document from all others; rows of one doc_id and text have it in common."""
-    return {
-        "doc_key": F.coalesce(doc_id.cast("long"), F.xxhash64(text)), "no_id": doc_id.isNull(), "text_hash": F.xxhash64(F.lit(1), text),
-    }
-
-
-def document_bytes(key: np.ndarray, no_id: np.ndarray, text_hash: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(key), DOCUMENT), np.uint8)
-    out[:, :8] = key.astype("<i8").view(np.uint8).reshape(-1, 8)
-    out[:, FLAGS] = np.where(no_id, NO_ID, 0) | np.where(repeated, REPEATED, 0)
-    out[:, FLAGS + 1 :] = text_hash.astype("<i8").view(np.uint8).reshape(-1, 8)
+def row_bytes(number: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(number), DOCUMENT), np.uint8)
+    out[:, :8] = number.astype("<i8").view(np.uint8).reshape(-1, 8)
     return out
 
 
-def document_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
-    return mixed(first_key(rows, 8) ^ first_key(rows[:, FLAGS + 1 : DOCUMENT], 8)) % np.uint64(buckets)
+def row_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
+    return mixed(first_key(rows, 8)) % np.uint64(buckets)
 
 
 def planes(rows: np.ndarray, starts: np.ndarray) -> list[bytes]:
@@ -192,8 +183,8 @@ def sorted_keys(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def by_document_blocks(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Places (documents and positions, no keys) in one block for each bucket of documents."""
-    bucket = document_bucket(rows, buckets)
-    order = np.lexsort((first_key(rows[:, FLAGS + 1 : DOCUMENT], 8), first_key(rows, 8), bucket))
+    bucket = row_bucket(rows, buckets)
+    order = np.lexsort((first_key(rows[:, DOCUMENT:], 4), first_key(rows, 8), bucket))
     rows, bucket = rows[order], bucket[order].astype(np.int64)
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
     return pa.record_batch(
@@ -202,7 +193,7 @@ def by_document_blocks(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 
 def repeated_places(sent: DataFrame, key_bytes: int, partitions: int) -> DataFrame:
-    """Places whose key occurs more than once: doc_key, no_id, text_hash, places, one row a document."""
+    """Places whose key occurs more than once: row, places, one row a document."""
     width = DOCUMENT + 4
 
     def count(all_batches):
@@ -228,7 +219,7 @@ def repeated_places(sent: DataFrame, key_bytes: int, partitions: int) -> DataFra
                 found.append(rows[np.repeat((counts > 1) | (marked > 0), counts), key_bytes:])
         if found:
             rows = np.concatenate(found)
-            rows[:, FLAGS] &= NO_ID
+            rows[:, FLAGS] = 0
             yield by_document_blocks(rows, partitions)
 
     def gather(all_batches):
@@ -236,16 +227,13 @@ def repeated_places(sent: DataFrame, key_bytes: int, partitions: int) -> DataFra
         if not found:
             return
         rows = np.concatenate(found)
-        order = (first_key(rows[:, DOCUMENT:], 4), first_key(rows[:, FLAGS + 1 : DOCUMENT], 8), rows[:, FLAGS], first_key(rows, 8))
-        rows = rows[np.lexsort(order)]
-        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]  # equal rows of documents have the same places
-        starts = np.flatnonzero(np.append(True, (rows[1:, :DOCUMENT] != rows[:-1, :DOCUMENT]).any(1)))
-        heads = rows[starts]
+        rows = rows[np.argsort(first_key(rows, 8), kind="stable")]
+        number = first_key(rows, 8).view(np.int64)
+        starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
         places = np.ascontiguousarray(rows[:, DOCUMENT:]).view("<u4")[:, 0].astype(np.int32)
         table = pa.table(
             {
-                "doc_key": pa.array(first_key(heads, 8).view(np.int64)), "no_id": pa.array(heads[:, FLAGS] > 0),
-                "text_hash": pa.array(first_key(heads[:, FLAGS + 1 :], 8).view(np.int64)),
+                "row": pa.array(number[starts]),
                 "places": pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(places)),
             }
         )
@@ -253,28 +241,21 @@ def repeated_places(sent: DataFrame, key_bytes: int, partitions: int) -> DataFra
 
     return (
         sent.repartition(partitions, "bucket").mapInArrow(count, "bucket int, body binary")
-        .repartition(partitions, "bucket").mapInArrow(gather, "doc_key long, no_id boolean, text_hash long, places array<int>")
+        .repartition(partitions, "bucket").mapInArrow(gather, "row long, places array<int>")
     )
 
 
 def send(docs: DataFrame, key_bytes: int, buckets: int, records) -> DataFrame:
-    """Blocks of the records that ``records()`` finds in each batch of ``docs(doc_key, no_id, text_hash, text, ...)``."""
+    """Blocks of the records that ``records()`` finds in each batch of ``docs(row, text, ...)``."""
 
     def run(all_batches):
         find, sender = records(), Sender(key_bytes, buckets)
         for batch in all_batches:
-            texts = batch.column(3).to_pylist()
+            texts = batch.column(1).to_pylist()
             for lo, hi in text_ranges(texts):
-                part, own = batch.slice(lo, hi - lo), texts[lo:hi]
-                told = [part.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-                _, first, copies = np.unique(np.rec.fromarrays(told), return_index=True, return_counts=True)
-                if len(first) < len(own):
-                    part, own = part.take(pa.array(first)), [own[k] for k in first.tolist()]
-                else:
-                    first = np.arange(len(own))
-                key, check, owner, position = find(part, own)
-                rows = document_bytes(*(t[first] for t in told), copies > 1)
-                yield from sender.add(key, check, rows[owner], position)
+                part = batch.slice(lo, hi - lo)
+                key, check, owner, position = find(part, texts[lo:hi])
+                yield from sender.add(key, check, row_bytes(part.column(0).to_numpy())[owner], position)
         yield from sender.flush()
 
     return docs.mapInArrow(run, "bucket int, known boolean, body binary")
@@ -335,24 +316,19 @@ def candidate_windows(window: int, period: int):
     return find
 
 
-TOLD = ("doc_key", "no_id", "text_hash")
-
-
 def joined(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    same = [docs[c] == places[c] for c in TOLD]
-    return docs.join(places, same, how).select(*(docs[c] for c in docs.columns), places["places"])
+    return docs.join(places, docs["row"] == places["row"], how).select(*(docs[c] for c in docs.columns), places["places"])
 
 
 def repeated_windows(
     docs: DataFrame, window: int = 35, period: int = PERIOD, cover: tuple[int, ...] = COVER
 ) -> DataFrame:
-    """Where repeated windows begin: doc_key, no_id, text_hash, places. ``docs``: doc_key, no_id, text_hash, text, ..."""
+    """Where repeated windows begin: row, places. ``docs``: row (a number of its own), text, ..."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    own = docs.select(*TOLD, "text")
-    sent = send(own, ANCHOR_KEY, partitions, lambda: anchors(window, period, cover))
-    # all columns are joined, so that Spark shuffles the texts once for this join and the last one
-    candidates = joined(docs, repeated_places(sent, ANCHOR_KEY, partitions), "inner").select(*TOLD, "text", "places")
+    sent = send(docs.select("row", "text"), ANCHOR_KEY, partitions, lambda: anchors(window, period, cover))
+    # all columns are joined here, so that Spark shuffles the texts once for this join and the last one
+    candidates = joined(docs, repeated_places(sent, ANCHOR_KEY, partitions), "inner")
     sent = send(candidates, WINDOW_KEY, partitions, lambda: candidate_windows(window, period))
     return repeated_places(sent, WINDOW_KEY, partitions)
 
@@ -365,9 +341,8 @@ def remove_repeated(
     ``with_text`` adds kept_text: the whole text where nothing is removed, else the kept words joined
     by one space. ``keep`` names further columns to return.
     """
-    # both joins read these columns, so that Spark shuffles the texts once for the two of them
-    told = identity(F.col("doc_id"), F.col("text"))
-    keyed = docs.select("doc_id", "text", *(c.alias(n) for n, c in told.items()), *(F.col(c).alias(f"_{c}") for c in keep))
+    named = docs.select("text", "doc_id", *(F.col(c).alias(f"_{c}") for c in keep))
+    keyed = written(named.select(F.monotonically_increasing_id().alias("row"), *named.columns), "rows")
     kinds = dict(docs.dtypes)
     places = repeated_windows(keyed, window)
 
@@ -392,12 +367,12 @@ def remove_repeated(
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
                     kept_texts.append(kept.decode() if removed else text)
-            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+            columns = [batch.column(2), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 columns.append(pa.array(kept_texts, pa.string()))
                 names.append("kept_text")
-            columns += [batch.column(2 + len(TOLD) + k) for k in range(len(keep))]
+            columns += [batch.column(3 + k) for k in range(len(keep))]
             yield pa.record_batch(columns, names=[*names, *keep])
 
         return step
