@@ -33,18 +33,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _with_least(pairs: DataFrame, n: int) -> DataFrame:
-    """Adds to each of ``n`` pairs (a, b) the least ``m`` of a and all b of that a.
+def spread_join(rows: DataFrame, values: DataFrame, key: str, n: int, count: str = "_n") -> DataFrame:
+    """The rows with the values of their key; ``values``: the key, once each, what to add, and how many rows have it (``count``).
 
-    Pairs of a hub, a node with more than n / ``HUBS`` of them, do not meet in one task: there are fewer than ``HUBS`` hubs, so
-    that their least neighbours are broadcast.
+    Of ``n`` rows, those of a hub, a key with more than n / ``HUBS`` of them, do not meet in one task: there are fewer than ``HUBS`` such
+    keys, so that their values are broadcast.
     """
+    hub = F.col(count) > max(n // HUBS, HUBS)
+    added = [c for c in values.columns if c not in (key, count)]
+    hubs = F.broadcast(values.where(hub).select(key, F.struct(*added).alias("_hub")))
+    marked = rows.join(hubs, key, "left")
+    rest = marked.where("_hub is null").drop("_hub").join(values.where(~hub).drop(count), key).select(*rows.columns, *added)
+    return rest.unionByName(marked.where("_hub is not null").select(*rows.columns, *[F.col(f"_hub.{c}").alias(c) for c in added]))
+
+
+def _with_least(pairs: DataFrame, n: int) -> DataFrame:
+    """Adds to each of ``n`` pairs (a, b) the least ``m`` of a and all b of that a."""
     least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
-    hub = F.col("_n") > max(n // HUBS, HUBS)
-    hubs = F.broadcast(least.where(hub).select("a", F.col("m").alias("_hub")))
-    marked = pairs.join(hubs, "a", "left")
-    rest = marked.where("_hub is null").drop("_hub").join(least.where(~hub).drop("_n"), "a")
-    return rest.unionByName(marked.where("_hub is not null").withColumnRenamed("_hub", "m"))
+    return spread_join(pairs, least, "a", n)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
