@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm.common import arrow_map, written
 from skarn.llm.simhash import forest
-from skarn.operators.components import connected_components
+from skarn.operators.components import connected_components, spread_join
 
 PAIRS = 1 << 17  # compared at once
 
@@ -248,11 +248,12 @@ def near_duplicate_vectors(
         .join(groups, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    names = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(names, "component").select(
-        "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
+    n = rows.count()
+    names = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_n"))
+    named = spread_join(labelled, names, "component", n).select(
+        "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"
     )
-    linked = rows.select("vec_id", "node").join(named, "node").select("vec_id", "n_links", "component_id")
+    linked = spread_join(rows.select("vec_id", "node"), named, "node", n, "copies").select("vec_id", "n_links", "component_id")
     # rows that can link with nothing stand alone
     valid = (
         F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import arrow_map, written
-from skarn.operators.components import connected_components
+from skarn.operators.components import connected_components, spread_join
 
 BLOCK = 1024  # fingerprints to a side of a comparison
 REFINED = 1 << 14  # fingerprints of a tile beyond which it is cut into finer ones
@@ -225,23 +225,14 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id of the component)."""
     marked = written(fingerprints(docs, shingle_words), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    n = marked.count()
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("_n"))
     groups = connected_components(fingerprint_links(distinct, radius))
     labelled = distinct.join(groups, distinct["fp"] == groups["node"], "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
+        "fp", "first_id", F.coalesce("component", "fp").alias("component"), F.col("_n").alias("_copies")
     )
-    names = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(names, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    names = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_n"))
+    named = spread_join(labelled, names, "component", n).select("fp", "component_id", "_copies")
+    return spread_join(marked, named, "fp", n, "_copies").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of least doc_id, with all its columns.
-
-    Of rows that share a doc_id one stays; rows without a doc_id cannot be told apart and stay.
-    """
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
