@@ -1,74 +1,77 @@
 """Globally best assignment of scored pairs, where staying unmatched is an option.
 
-Pairs form a bipartite graph; its connected components are independent and each is solved by
-shortest augmenting paths, in a group of its own. A pair is only taken if it beats leaving both of its
-ends unmatched, which counts ``baseline`` together.
+Pairs form a bipartite graph; its connected components are independent and each is solved by shortest augmenting paths over its
+own pairs, in a group of its own: memory grows with the pairs, never with sources times targets. A pair is only taken if it beats leaving both of
+its ends unmatched, which counts ``baseline`` together.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.operators.components import connected_components
 
-FORBIDDEN = 1e9
-
 
-def least_cost(cost: np.ndarray) -> np.ndarray:
-    """The column of each row in a square matrix so that the sum of costs is least.
+def least_cost(edges: list[dict[int, float]]) -> list[int]:
+    """The column of each row so that the sum of costs is least; -1 - k is row k's own stand-in, which costs nothing.
 
-    Rows enter one by one. For each, shortest reduced-cost distances to all columns grow until a free
-    column is reached; the path to it is then flipped.
+    ``edges``: the cost of each column that a row may take. Rows enter one by one. For each, distances by reduced cost grow over the
+    alternating paths until a column without a row is reached; the path to it is then flipped.
     """
-    n = len(cost)
-    row_price, column_price = np.zeros(n), np.zeros(n)
-    column_of, row_of = np.full(n, -1), np.full(n, -1)
-    for start in range(n):
-        distance = np.full(n, np.inf)
-        before = np.full(n, -1)
-        done = np.zeros(n, bool)
+    row_price = [0.0] * len(edges)
+    column_price: dict[int, float] = {}
+    column_of, row_of = [0] * len(edges), {}
+    for start in range(len(edges)):
+        distance: dict[int, float] = {}
+        before: dict[int, int] = {}
+        done: dict[int, float] = {}  # columns in the order in which they were reached
+        queue: list[tuple[float, int]] = []
         row, reached = start, 0.0
         while True:
-            through = reached + cost[row] - row_price[row] - column_price
-            better = ~done & (through < distance)
-            distance[better], before[better] = through[better], row
-            column = int(np.where(done, np.inf, distance).argmin())
-            reached = distance[column]
-            done[column] = True
-            if row_of[column] < 0:
+            base = reached - row_price[row]
+            for column, cost in (*edges[row].items(), (-1 - row, 0.0)):
+                if column in done:
+                    continue
+                through = base + cost - column_price.get(column, 0.0)
+                if through < distance.get(column, float("inf")):
+                    distance[column], before[column] = through, row
+                    heapq.heappush(queue, (through, column))
+            reached, column = heapq.heappop(queue)
+            while column in done:
+                reached, column = heapq.heappop(queue)
+            if column not in row_of:
                 break
+            done[column] = reached
             row = row_of[column]
-        inner = done & (row_of >= 0)
-        row_price[row_of[inner]] += reached - distance[inner]
         row_price[start] += reached
-        column_price[done] -= reached - distance[done]
-        while column >= 0:
+        for near, there in done.items():
+            row_price[row_of[near]] += reached - there
+            column_price[near] = column_price.get(near, 0.0) - (reached - there)
+        while True:
             row = before[column]
             row_of[column] = row
             column_of[row], column = column, column_of[row]
+            if row == start:
+                break
     return column_of
 
 
 def assign_component(edges: pd.DataFrame, baseline: float) -> pd.DataFrame:
     """The pairs taken of one component: source_id, target_id, score."""
-    sources, targets = sorted(edges["source_id"].unique()), sorted(edges["target_id"].unique())
-    p, t = len(sources), len(targets)
-    at = {s: k for k, s in enumerate(sources)}, {x: k for k, x in enumerate(targets)}
-    # sources and stand-ins for targets against targets and stand-ins for sources
-    gain = np.full((p + t, t + p), -FORBIDDEN)
-    gain[np.arange(p), t + np.arange(p)] = baseline / 2
-    gain[p + np.arange(t), np.arange(t)] = baseline / 2
-    gain[p:, t:] = 0.0
-    for s, x, score in edges[["source_id", "target_id", "score"]].itertuples(index=False):
-        gain[at[0][s], at[1][x]] = score
-    column = least_cost(-gain)
-    scores = edges.set_index(["source_id", "target_id"])["score"]
-    taken = [(s, targets[column[k]]) for k, s in enumerate(sources) if column[k] < t]
+    best = edges.groupby(["source_id", "target_id"], sort=True, as_index=False)["score"].max()
+    best = best[best["score"] > baseline]
+    sources, source_names = pd.factorize(best["source_id"])
+    targets, target_names = pd.factorize(best["target_id"])
+    scores: list[dict[int, float]] = [{} for _ in source_names]
+    for s, t, score in zip(sources.tolist(), targets.tolist(), best["score"].tolist(), strict=True):
+        scores[s][t] = score
+    taken = least_cost([{t: baseline - score for t, score in own.items()} for own in scores])
     return pd.DataFrame(
-        [(s, x, float(scores[(s, x)])) for s, x in taken if (s, x) in scores.index], columns=["source_id", "target_id", "score"]
+        [(source_names[s], target_names[t], scores[s][t]) for s, t in enumerate(taken) if t >= 0], columns=["source_id", "target_id", "score"]
     )
 
 

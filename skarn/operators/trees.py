@@ -7,30 +7,26 @@ from pyspark.sql import functions as F
 
 from skarn.operators.components import checkpointed
 
-DEPTH = 100  # hops after which a chain counts as a cycle
+DEPTH = 100  # titles of a path at most: what lies above them, or goes round a cycle, is left out
 
 
 def tree_paths(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """id, path (titles from the root down), level of ``nodes(id, parent_id, title)``.
+    """id, path (titles from the root down), level of every one of ``nodes(id, parent_id, title)``.
 
-    Nodes whose parent is null, empty or unknown are roots. Nodes on a cycle have no root and are left
-    out. One join a level, until no level is left; a level's rows are settled before the next.
+    Nodes whose parent is null, empty or unknown are roots. Paths have the ``depth`` lowest titles; of a node on or below a cycle, these go
+    round it. Each round doubles the hops that a path covers, so that few joins reach any depth.
     """
-    parents = nodes.select(F.col("id").alias("parent_id"))
-    roots = nodes.join(parents, "parent_id", "left_anti")
-    level = checkpointed(roots.select("id", F.array("title").alias("path"), F.lit(0).alias("level")))
-    found = level
-    for k in range(1, depth):
-        above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_path"))
-        level = checkpointed(
-            nodes.join(above, "parent_id").select(
-                "id", F.concat("_path", F.array("title")).alias("path"), F.lit(k).alias("level")
-            )
-        )
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found
+    known = nodes.select(F.col("id").alias("_known"))
+    up = nodes.join(known, nodes["parent_id"] == known["_known"], "left").select(
+        "id", F.col("_known").alias("_above"), F.array("title").alias("path")
+    )
+    up, covered = checkpointed(up), 1
+    while covered < depth and not up.where("_above is not null").isEmpty():
+        higher = up.select(F.col("id").alias("_above"), F.col("_above").alias("_next"), F.col("path").alias("_path"))
+        longer = F.concat(F.coalesce("_path", F.array().cast("array<string>")), "path")
+        up, covered = checkpointed(up.join(higher, "_above", "left").select("id", F.col("_next").alias("_above"), longer.alias("path"))), 2 * covered
+    path = F.when(F.size("path") > depth, F.slice("path", -depth, depth)).otherwise(F.col("path"))
+    return up.select("id", path.alias("path")).withColumn("level", F.size("path") - 1)
 
 
 def subtree(nodes: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.functions import times
 from skarn.functions.text import document_path
 from skarn.plans import audit, validate
 from skarn.sinks import reports
@@ -14,21 +15,26 @@ from skarn.sources.snapshot import Folder, Snapshot
 CONTENT = {
     "normalized_text": "text", "normalized_text_sha256": "text_sha256", "semantic_model_sha256": "semantic_sha256", "normalizer_version": "normalizer_version",
     "raw_content_format": "raw_content_format", "image_count": "image_count", "attachment_count": "attachment_count", "link_targets": "link_targets",
-    "resource_hashes": "resource_hashes", "resources": "resources", "warnings": "warnings", "created_at": "created_at", "updated_at": "updated_at",
+    "resource_hashes": "resource_hashes", "resources": "resources", "warnings": "warnings",
 }
 
 
 def page_records(pages: DataFrame) -> DataFrame:
     path = document_path(F.col("notebook_title"), F.col("section_group_path"), F.col("section_title"))
     told = pages.select(
-        F.col("source_page_id").alias("record_id"), "page_title", "page_level", path.alias("_path"), F.lit(None).cast("string").alias("embedded_page_id"),
+        F.col("source_page_id").alias("record_id"), "page_title", "page_level", path.alias("_path"), F.lit(None).cast("string").alias("embedded_page_id"), "created_at", "updated_at",
         *[F.col(a).alias(b) for a, b in CONTENT.items()],
     )
     return audit.prepared(told, "record_id", "page_title", F.col("_path"))
 
 
 def note_records(notes: DataFrame) -> DataFrame:
-    told = notes.select(F.col("note_id").alias("record_id"), "title", F.col("notebook_path").alias("_path"), "embedded_page_id", *[F.col(a).alias(b) for a, b in CONTENT.items()])
+    """Notes are compared by their users' times; the times of their rows tell when the import ran."""
+    imported = times.epoch_seconds(F.col("created_at")).cast("double").alias("imported_s")
+    told = notes.select(
+        F.col("note_id").alias("record_id"), "title", F.col("notebook_path").alias("_path"), "embedded_page_id", "status", imported,
+        F.col("user_created_at").alias("created_at"), F.col("user_updated_at").alias("updated_at"), *[F.col(a).alias(b) for a, b in CONTENT.items()],
+    )
     return audit.prepared(told, "record_id", "title", F.col("_path"))
 
 

@@ -102,11 +102,11 @@ def path_and_count_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT kind, evidence, cause, count(*) AS n FROM (
       SELECT 'source-drift' AS kind, 'informational' AS evidence, 'source-drift' AS cause FROM p WHERE drift
       UNION ALL SELECT 'truncated-text', CASE WHEN drift THEN 'uncertain' ELSE 'probable' END, CASE WHEN drift THEN 'source-drift' ELSE 'migration-loss' END FROM p WHERE nl > 0 AND pl - nl >= 100 AND pl - nl >= 0.3 * pl
-      UNION ALL SELECT 'semantic-difference', CASE WHEN drift THEN 'uncertain' ELSE 'probable' END, CASE WHEN drift THEN 'source-drift' ELSE 'migration-loss' END FROM p WHERE NOT same AND NOT (pl > 0 AND nl = 0)
+      UNION ALL SELECT 'semantic-difference', CASE WHEN drift THEN 'uncertain' ELSE 'probable' END, CASE WHEN drift THEN 'source-drift' ELSE 'migration-loss' END FROM p WHERE NOT same
       UNION ALL SELECT 'empty-body', CASE WHEN drift THEN 'uncertain' ELSE 'confirmed' END, CASE WHEN drift THEN 'source-drift' ELSE 'migration-loss' END FROM p WHERE pl > 0 AND nl = 0
-      UNION ALL SELECT 'wrong-placement', 'informational', CASE WHEN drift THEN 'source-drift' ELSE 'migration-loss' END FROM p WHERE moved
+      UNION ALL SELECT 'wrong-placement', 'informational', 'migration-loss' FROM p WHERE moved
       UNION ALL SELECT 'lost-hierarchy', 'informational', 'format-conversion' FROM p WHERE pid % 10 = 0
-      UNION ALL SELECT 'lost-timestamps', 'confirmed', CASE WHEN drift THEN 'source-drift' ELSE 'migration-loss' END FROM p WHERE pid % 14 = 0
+      UNION ALL SELECT 'lost-timestamps', 'confirmed', 'migration-loss' FROM p WHERE pid % 14 = 0
       UNION ALL SELECT 'representation-only', 'informational', 'format-conversion' FROM p WHERE same AND pid % 4 = 0) GROUP BY ALL"""
 )
 def pair_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ def pair_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("a.text").alias("p_text"), F.col("b.text").alias("n_text"), F.col("a.digest").alias("p_semantic_sha256"), F.col("b.digest").alias("n_semantic_sha256"),
         F.when(pid % 4 == 0, "html").otherwise("markdown").alias("p_format"), F.lit("markdown").alias("n_format"),
         F.array("a.source").alias("p_path"), F.array("b.source").alias("n_path"), F.when(pid % 10 == 0, 2).otherwise(1).alias("p_level"),
-        F.lit(0.0).alias("n_created_s"), F.when(pid % 14 == 0, 1e6).otherwise(0.0).alias("p_created_s"), F.when(pid % 6 == 0, 2.0).otherwise(0.0).alias("p_updated_s"),
+        F.lit(0.0).alias("n_created_s"), F.when(pid % 14 == 0, 1e6).otherwise(0.0).alias("p_created_s"), F.when(pid % 6 == 0, 86402.0).otherwise(86401.0).alias("p_updated_s"),
     )
     return detect.pair_findings(pairs, 1.0).groupBy("kind", "evidence", "cause").agg(F.count("*").alias("n"))
 
