@@ -69,6 +69,11 @@ def canonical_row(*columns: str) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
+def sorted_digest(text: Column) -> Column:
+    """Aggregate: the digest of a list of JSON texts in their own order, whatever order they are stored in; for groups of bounded size."""
+    return digest(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(text)), ","), F.lit("]")))
+
+
 def set_fingerprint(value: Column, digits: int = 16) -> Column:
     """Aggregate: a fingerprint of a group's distinct values, whatever their order.
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Patterns of tags and of references to resources (fixed values).
 TAG = r"<[a-zA-Z][^>]*>"
 RESOURCE = r":/([0-9a-fA-F]{32})"
 #: Prefixes of URLs that may be rendered as links (fixed values). Schemes of a target application of
 #: one's own are given to ``is_safe_url`` as ``more``.
 SAFE_PREFIXES = ("http://", "https://", "onenote:", ":/")
+#: The URL that names a source page (a fixed value).
 PAGE_URL = r"^onenote://page/(.+)$"
-#: Whatever tool left the marker, its name stands before the colon.
-PAGE_MARKER = r"[\w-]+:onenote_page_id=([^\s<>\"']+)"
+#: The suffix of titles of dated copies (a fixed value).
 DATED_SUFFIX = r"\s*\([^()]*(?:\d{1,4}[./-]\d{1,2}[./-]\d{1,4})[^()]*\)\s*$"
 MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "pdf": "application/pdf", "txt": "text/plain", "html": "text/html", "csv": "text/csv", "json": "application/json", "zip": "application/zip"}
 
@@ -34,12 +35,20 @@ def resource_refs(body: Column) -> Column:
     return F.array_distinct(F.transform(found, F.lower))
 
 
-def embedded_id(
-    url: Column, body: Column, url_pattern: str = PAGE_URL, body_pattern: str = PAGE_MARKER
-) -> Column:
-    """The id that the source URL names, or else the marker in the body, URL-decoded; or null."""
+def page_marker(tool: str) -> str:
+    """The pattern of the marker that a tool leaves in bodies: its name, a colon and the page's id."""
+    return rf"\Q{tool}\E:onenote_page_id=([^\s<>\"']+)"
+
+
+def embedded_id(url: Column, body: Column, tool: str | None = None, url_pattern: str = PAGE_URL) -> Column:
+    """The id that the source URL names, or else the marker of ``tool`` in the body, URL-decoded; or null.
+
+    Markers of other tools are none: they do not link pages and notes. Without a ``tool`` only the URL counts.
+    """
     from_url = F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), url_pattern, 1), F.lit(""))
-    from_body = F.nullif(F.regexp_extract(F.coalesce(body, F.lit("")), body_pattern, 1), F.lit(""))
+    from_body = F.lit(None).cast("string")
+    if tool is not None:
+        from_body = F.nullif(F.regexp_extract(F.coalesce(body, F.lit("")), page_marker(tool), 1), F.lit(""))
     return F.try_url_decode(F.coalesce(from_url, from_body))
 
 

@@ -19,6 +19,19 @@ def latest_per_key(df: DataFrame, key: list[str], newest: list[Column]) -> DataF
     return found.select(*key, "_best._row.*", "n_skipped")
 
 
+def keep_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key. Aggregates a struct, so that partial results are combined before the shuffle."""
+    rest = [c for c in df.columns if c not in key]
+    first = F.min_by(F.struct(*rest), F.struct(*[c.alias(f"_o{k}") for k, c in enumerate(order)]))
+    return df.groupBy(*key).agg(first.alias("_first")).select(*key, "_first.*")
+
+
+def members_of_groups(df: DataFrame, key: str, first: Column, order: Column) -> DataFrame:
+    """The rows whose key is not null and occurs more than once, with ``n`` and ``first`` (of the row that comes first by ``order``)."""
+    grouped = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min_by(first, order).alias("first")).where("n > 1")
+    return df.join(grouped, key)
+
+
 def top_k(df: DataFrame, key: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The k first rows of each key; Spark limits each task's groups before the shuffle."""
     window = Window.partitionBy(*key).orderBy(*order)

@@ -60,6 +60,11 @@ def profile_counts(folders: DataFrame, notes: DataFrame, resources: DataFrame) -
     return {"folder": folders.count(), "note": notes.count(), "resource": resources.count()}
 
 
+def record_counts(records: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """One row: ``n`` records, and how many meet each named condition, in one pass."""
+    return records.agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in conditions.items()])
+
+
 def observations_fingerprint(observations: DataFrame, column: str) -> str:
     """A digest of a set of texts that does not depend on their order, added up on the executors."""
     row = F.sha2(column, 256)

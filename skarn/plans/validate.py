@@ -23,7 +23,7 @@ COMPARED = {
 
 
 def note_issues(planned: DataFrame, found: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """kind, id of every difference between planned and found notes, in one join.
+    """kind, id, expected, actual of every difference between planned and found notes, in one join.
 
     Both have ``id`` and some of path, title, text_sha256 and resource_hashes (a sorted array). A planned
     id found several times is a duplicate and not compared further; found rows without id are unexpected.
@@ -44,11 +44,19 @@ def note_issues(planned: DataFrame, found: DataFrame, source: DataFrame | None =
         F.when(~planned_, "unexpected-exported-source-id"), F.when(known & (count == 0), "exported-note-missing"),
         F.when(known & (count > 1), "duplicate-exported-note"),
     ]
-    kinds += [
-        F.when(known & (count == 1) & ~F.col(f"planned_{c}").eqNullSafe(F.col(f"found_{c}")), COMPARED[c]) for c in columns
+    def told(kind: Column, expected: Column | None = None, actual: Column | None = None) -> Column:
+        values = {"kind": kind, "expected": expected, "actual": actual}
+        return F.when(kind.isNotNull(), F.struct(*[(F.lit(None) if v is None else v).cast("string").alias(k) for k, v in values.items()]))
+
+    def shown(column: str) -> Column:
+        value = F.col(column)
+        return F.array_join(value, " / " if column.endswith("path") else ",") if dict(both.dtypes)[column].startswith("array") else value
+
+    kinds = [told(k) for k in kinds] + [
+        told(F.when(known & (count == 1) & ~F.col(f"planned_{c}").eqNullSafe(F.col(f"found_{c}")), COMPARED[c]), shown(f"planned_{c}"), shown(f"found_{c}")) for c in columns
     ]
-    issues = both.select(F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("kind"), "id")
-    return issues.unionByName(nameless)
+    issues = both.select("id", F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("_i")).select("_i.kind", "id", "_i.expected", "_i.actual")
+    return issues.unionByName(nameless.select("kind", "id", *[F.lit(None).cast("string").alias(c) for c in ("expected", "actual")]))
 
 
 def profile_issues(counts: dict[str, int], planned: dict[str, int]) -> list[str]:

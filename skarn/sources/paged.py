@@ -53,6 +53,18 @@ def cursor_pages(fetch_url, url: str, **parameters) -> Iterator[dict]:
         link = answer.get("@odata.nextLink")
 
 
+def has_field(url: str, collection: str, field: str, token: str | None) -> bool:
+    """Whether a target knows a field: it refuses requests for fields that it does not have."""
+    query = urllib.parse.urlencode({"fields": f"id,{field}", "limit": 1})
+    try:
+        get_json(f"{url}/{collection}?{query}", token)
+    except urllib.error.HTTPError as error:
+        if error.code in (400, 404, 500):
+            return False
+        raise
+    return True
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)

@@ -40,8 +40,8 @@ def without_excluded(pages: DataFrame, excluded: DataFrame, notebooks: list[str]
     scope = pages if recycle_bin else pages.where(~F.col("in_recycle_bin"))
     if notebooks:
         scope = scope.where(F.col("notebook_title").isin(notebooks))
-    met = excluded.join(scope.select("page_id").distinct(), "page_id", "left_semi")
-    counts = met.agg(F.count("*").alias("n_excluded")).crossJoin(excluded.agg(F.count("*").alias("_all"))).select("n_excluded", (F.col("_all") - F.col("n_excluded")).alias("n_stale"))
+    met = scope.select("page_id", F.lit(True).alias("_met")).distinct()
+    counts = excluded.join(met, "page_id", "left").agg(F.count_if("_met").alias("n_excluded"), F.count_if(F.col("_met").isNull()).alias("n_stale"))
     return scope.join(excluded, "page_id", "left_anti"), counts
 
 
@@ -51,10 +51,13 @@ def latest_sections(files: DataFrame, key: Column, stem: Column) -> DataFrame:
     return latest_per_key(told, ["section_key"], [F.col("modified"), F.col("path")])
 
 
-def best_root(files: DataFrame, root: str) -> DataFrame:
-    """The folder with most dated files, then most files, version, newest file and name."""
-    scored = files.groupBy(root).agg(F.count_if("dated").alias("n_dated"), F.count("*").alias("n_files"), F.max("version").alias("version"), F.max("modified").alias("newest"))
-    return scored.agg(F.max_by(F.struct(*scored.columns), F.struct("n_dated", "n_files", "version", "newest", root)).alias("b")).select("b.*")
+def best_root(files: DataFrame, root: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """The folder with most dated files, then most files, version, newest file and name; one of all, or of each group ``within``."""
+    scored = files.groupBy(*within, root).agg(
+        F.count_if("dated").alias("n_dated"), F.count("*").alias("n_files"), F.max("version").alias("version"), F.max("modified").alias("newest")
+    )
+    told = [c for c in scored.columns if c not in within]
+    return scored.groupBy(*within).agg(F.max_by(F.struct(*told), F.struct("n_dated", "n_files", "version", "newest", root)).alias("b")).select(*within, "b.*")
 
 
 def referenced_resources(notes: DataFrame, attached: DataFrame) -> DataFrame:

@@ -8,16 +8,19 @@ so that scans prune columns and push filters down; their digest does not depend
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions.hashing import record_order
+from skarn.functions.hashing import canonical_row, digest, record_order, sorted_digest
+from skarn.operators.components import checkpointed
 
 SCHEMA_VERSION = 1
 RESOURCE = "struct<source_reference:string,original_filename:string,sanitized_filename:string,media_type:string,byte_length:bigint,sha256:string,stored_path:string,status:string,is_image:boolean,warnings:array<string>>"
 CONTENT = (
-    "raw_content_path string, raw_content_sha256 string, raw_content_format string, semantic_model_path string, semantic_model_sha256 string, "
+    "raw_content string, semantic_json string, raw_content_path string, raw_content_sha256 string, raw_content_format string, semantic_model_path string, semantic_model_sha256 string, "
     "normalizer_version string, normalized_text string, normalized_text_sha256 string, visible_text_length long, image_count long, "
     f"attachment_count long, link_targets array<string>, resource_hashes array<string>, resources array<{RESOURCE}>, warnings array<string>, errors array<string>"
 )
@@ -55,6 +58,19 @@ class Folder:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def write_parts(self, name: str, parts: Iterable[str]) -> None:
+        """One file of many pieces, none of which is held."""
+        out = self.fs.create(self.at(name), False)
+        held, size = [], 0
+        for part in parts:
+            held.append(part)
+            size += len(part)
+            if size > 1 << 20:
+                out.write(bytearray("".join(held).encode()))
+                held, size = [], 0
+        out.write(bytearray("".join(held).encode()))
+        out.close()
+
     def read_text(self, name: str) -> str:
         source = self.fs.open(self.at(name))
         text = self.jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
@@ -66,18 +82,63 @@ class Folder:
             raise OSError(f"{self.path} cannot become {target}")
 
 
-def inventory_hash(records: DataFrame) -> str:
-    """A digest of a set of records that does not depend on order or files.
+def inventory_hash(records: DataFrame, leaf_rows: int = 4096) -> str:
+    """The digest of the sorted canonical JSON of all records, whatever order and files they are stored in.
 
-    Row digests are added up on the executors, so that no task gathers all of them.
+    Beyond ``leaf_rows`` records it is that of a tree: records are dealt by their digests to groups of about so many, and the digests
+    of the groups are treated as records again, so that no task holds more than a group. The tree depends on the records alone.
     """
-    text = F.to_json(F.struct(*[F.col(c) for c in sorted(records.columns)]), {"ignoreNullFields": "false"})
-    row = F.sha2(text, 256)
-    parts = [F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]
-    total = records.agg(F.count("*").alias("n"), *parts).first()
-    import hashlib
-
-    return hashlib.sha256(",".join(str(x) for x in total).encode()).hexdigest()
+    texts = records.select(canonical_row(*records.columns).alias("j"))
+    n = texts.count()
+    while n > leaf_rows:
+        groups = 1 << (-(-n // leaf_rows) - 1).bit_length()
+        group = F.pmod(F.conv(F.substring(digest(F.col("j")), 1, 8), 16, 10).cast("long"), F.lit(groups))
+        texts = checkpointed(texts.groupBy(group.alias("g")).agg(sorted_digest(F.col("j")).alias("d")).select(canonical_row("g", "d").alias("j")))
+        n = texts.count()
+    return texts.agg(sorted_digest(F.col("j")).alias("d")).first()["d"]
+
+
+RENAME_ATTEMPTS, RENAME_WAIT = 8, 0.05  # as another process may hold a file for a moment; each wait is twice the one before
+
+
+def publish(staging: Folder, path: str, wait=time.sleep) -> None:
+    """Renames the staging folder; where that keeps failing, copies it with the manifest last, checks the copy and then deletes it."""
+    for attempt in range(RENAME_ATTEMPTS):
+        try:
+            return staging.rename_to(path)
+        except Exception:  # noqa: BLE001  a file system's own errors come through the gateway
+            if Folder(staging.spark, path).exists():
+                raise
+            if attempt < RENAME_ATTEMPTS - 1:
+                wait(RENAME_WAIT * 2**attempt)
+    target = Folder(staging.spark, path)
+    conf, files = staging.spark.sparkContext._jsc.hadoopConfiguration(), staging.jvm.org.apache.hadoop.fs.FileUtil
+    try:
+        target.fs.mkdirs(target.at())
+        for status in staging.fs.listStatus(staging.at()):
+            name = status.getPath().getName()
+            if name != "manifest.json":
+                files.copy(staging.fs, status.getPath(), target.fs, target.at(name), False, conf)
+        manifest = staging.read_text("manifest.json")
+        problems = checksum_issues(staging.spark, target, json.loads(manifest))
+        if problems:
+            raise OSError("; ".join(problems))
+        target.write_text("manifest.json", manifest)
+    except Exception:
+        target.fs.delete(target.at(), True)
+        raise
+    staging.fs.delete(staging.at(), True)
+
+
+def checksum_issues(spark: SparkSession, folder: Folder, manifest: dict) -> list[str]:
+    """Kinds whose records are missing or not those that were written."""
+    issues = []
+    for kind, expected in manifest["checksums"].items():
+        if not folder.exists(kind):
+            issues.append(f"{kind}: missing")
+        elif inventory_hash(spark.read.parquet(f"{folder.path}/{kind}")) != expected:
+            issues.append(f"{kind}: mismatch")
+    return issues
 
 
 def write_snapshot(path: str, tables: dict[str, DataFrame], manifest: dict, blobs: DataFrame | None = None) -> dict:
@@ -100,7 +161,7 @@ def write_snapshot(path: str, tables: dict[str, DataFrame], manifest: dict, blob
         "coverage_status": "partial" if counts.get("errors") else "complete",
     }
     staging.write_text("manifest.json", json.dumps(whole, sort_keys=True))
-    staging.rename_to(path)
+    publish(staging, path)
     return whole
 
 
@@ -121,14 +182,7 @@ class Snapshot:
         return df.withColumn("ord", record_order(F.col(record_id))) if record_id else df
 
     def checksum_issues(self) -> list[str]:
-        """Kinds whose records are missing or not those that were written."""
-        issues = []
-        for kind, expected in self.manifest["checksums"].items():
-            if not self.folder.exists(kind):
-                issues.append(f"{kind}: missing")
-            elif inventory_hash(self.table(kind)) != expected:
-                issues.append(f"{kind}: mismatch")
-        return issues
+        return checksum_issues(self.folder.spark, self.folder, self.manifest)
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -161,10 +215,3 @@ def file_checks(files: DataFrame, expected: DataFrame) -> DataFrame:
 def not_yet_captured(listed: DataFrame, staged: DataFrame, key: str) -> DataFrame:
     """Resuming: what an earlier run has staged is not captured again."""
     return listed.join(staged.select(key).distinct(), key, "left_anti")
-
-
-def json_schemas() -> dict[str, str]:
-    """The record schemas as JSON."""
-    from pyspark.sql.types import StructType
-
-    return {kind: StructType.fromDDL(ddl).json() for kind, ddl in KINDS.items()}

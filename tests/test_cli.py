@@ -31,7 +31,13 @@ def test_compare_and_validate(spark, tmp_path, capsys):
     assert main(["compare", f"{tmp_path}/source", f"{tmp_path}/target", f"{tmp_path}/out"], spark) == 1
     counts = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert counts["confidence"] == {"exact": 1, "unmatched": 1} and counts["kind"] == {"source-page-missing": 1}
-    assert "source-page-missing" in (tmp_path / "out" / "report.html").read_text()
+    page = (tmp_path / "out" / "report.html").read_text()
+    assert "source-page-missing" in page and 'data-confidence="exact"' in page and 'data-path="n / s"' in page and "sift('matches')" in page
+    whole = json.loads((tmp_path / "out" / "report.json").read_text())
+    assert {m["source_title"] for m in whole["matches"]} == {"A", "B"} and whole["findings"][0]["title"] == "B" and whole["findings"][0]["path"] == ["N", "S"]
+    assert whole["summary"]["kind"] == {"source-page-missing": 1}
+    csv = spark.read.option("header", True).csv(f"{tmp_path}/out/csv/missing-pages").first()
+    assert (csv["kind"], csv["title"], csv["path"]) == ("source-page-missing", "B", "N / S")
     assert main(["validate", f"{tmp_path}/source", f"{tmp_path}/target"], spark) == 1
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"exported-note-missing": 1}
     both = frames(spark, [("p1", "A", "one")], [("n1", "A", "one", "p1")])
@@ -39,3 +45,49 @@ def test_compare_and_validate(spark, tmp_path, capsys):
     snapshot.write_snapshot(f"{tmp_path}/t2", {"notes": both[1]}, {"snapshot_id": "t"})
     assert main(["compare", f"{tmp_path}/s2", f"{tmp_path}/t2", f"{tmp_path}/out2"], spark) == 0
     assert main(["validate", f"{tmp_path}/s2", f"{tmp_path}/t2"], spark) == 0
+
+
+def test_plan_approve_dry_run(spark, tmp_path, capsys):
+    def told(*arguments):
+        code = main([str(a) for a in arguments], spark)
+        return code, json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    pages, _ = frames(spark, [("p1", "A", "one"), ("p2", "", "two")], [])
+    pages = pages.withColumns({"raw_content": pages["normalized_text"], "page_order": pages["page_order"]})
+    snapshot.write_snapshot(f"{tmp_path}/source", {"pages": pages}, {"snapshot_id": "s"})
+    code, header = told("export-plan", tmp_path / "source", tmp_path / "plan", "--on-conflict", "replace-managed")
+    assert code == 0 and header["n_notes"] == 2 and header["n_folders"] == 2
+    assert told("export-plan", tmp_path / "source", tmp_path / "plan2", "--on-conflict", "replace-managed")[1]["plan_id"] == header["plan_id"]
+    assert main(["export-plan", f"{tmp_path}/source", f"{tmp_path}/plan"], spark) == 2 and "FileExists" in capsys.readouterr().err
+    assert told("export-approve", tmp_path / "plan", tmp_path / "approval", "--operator", "me")[1]["operator"] == "me"
+    notes = {r["source_page_id"]: r for r in spark.read.parquet(f"{tmp_path}/plan/notes").collect()}
+    assert (notes["p1"]["title"], notes["p2"]["title"]) == ("A", "Untitled Page") and {r["place"] for r in notes.values()} == {1, 2}
+    bodies = {r["action_id"]: r["body"] for r in spark.read.parquet(f"{tmp_path}/plan/bodies").collect()}
+    assert bodies[notes["p1"]["action_id"]] == "<p>one</p>" and hashlib.sha256(b"<p>one</p>").hexdigest() == notes["p1"]["body_sha256"]
+
+    def listings(name, folders, sources=()):
+        spark.createDataFrame(folders, "id string, parent_id string, title string, user_data string").write.parquet(f"{tmp_path}/{name}/folders")
+        spark.createDataFrame([(f"n{k}", "x", u) for k, u in enumerate(sources)], "id string, parent_id string, source_url string").write.parquet(f"{tmp_path}/{name}/notes")
+        spark.createDataFrame([], "id string, sha256 string").write.parquet(f"{tmp_path}/{name}/resources")
+        return told("export-dry-run", tmp_path / "plan", tmp_path / "approval", tmp_path / name, tmp_path / f"{name}-out")
+
+    def steps(name):
+        return [r["kind"] for r in spark.read.json(f"{tmp_path}/{name}-out/operations").orderBy("place").collect()]
+
+    code, receipt = listings("empty", [])
+    assert code == 0 and receipt["result"] == "ok" and receipt["mutating_requests_sent"] == 0 and receipt["operations"] == 6
+    assert steps("empty") == ["create-folder"] * 2 + ["create-note"] * 2 + ["verify-staged-root", "promote-root"]
+    old = '{"export":{"plan_id":"old","folder_id":"r","state":"published"}}'
+    listings("replaced", [("r", "", "N", old)])
+    assert steps("replaced")[-1] == "trash-old-root"
+    root = spark.read.parquet(f"{tmp_path}/plan/folders").where("kind = 'notebook'").first()["folder_id"]
+    mine = f'{{"export":{{"plan_id":"{header["plan_id"]}","folder_id":"{root}","state":"staging"}}}}'
+    listings("resumed", [("r", "", "N", mine)], ["onenote://page/p1"])
+    assert steps("resumed") == ["create-folder", "create-note", "verify-staged-root", "promote-root"]
+    code, receipt = listings("taken", [("u", "", "N", None)])
+    assert code == 1 and receipt["problems"] == ["a notebook of the user's own has the title of a planned one"] and receipt["operations"] == 0
+    spark.createDataFrame([("x", "y")], "action_id string, body string").write.mode("append").parquet(f"{tmp_path}/plan/bodies")
+    assert main(["export-dry-run", f"{tmp_path}/plan", f"{tmp_path}/approval", f"{tmp_path}/empty", f"{tmp_path}/again"], spark) == 2
+    assert "changed after it was written" in capsys.readouterr().err
+    assert told("doctor", tmp_path / "replaced")[1]["counts"] == {"folder": 1, "note": 0, "resource": 0}
+    assert "finding" in told("schemas", tmp_path / "schemas")[1]["schemas"] and (tmp_path / "schemas" / "finding.schema.json").exists()

@@ -50,7 +50,9 @@ def test_markup(spark):
     body = ":/ABCDEF0123456789abcdef0123456789 and :/abcdef0123456789abcdef0123456789 :/" + "1" * 32
     assert one(spark, markup.resource_refs(F.col("t")), t=body) == ["abcdef0123456789abcdef0123456789", "1" * 32]
     assert one(spark, markup.embedded_id(F.col("t"), F.lit("")), t="onenote://page/a%20b") == "a b"
-    assert one(spark, markup.embedded_id(F.lit(""), F.col("t")), t="x tool-x:onenote_page_id=p%2F1 y") == "p/1"
+    assert one(spark, markup.embedded_id(F.lit(""), F.col("t"), "tool-x"), t="x tool-x:onenote_page_id=p%2F1 y") == "p/1"
+    assert one(spark, markup.embedded_id(F.lit(""), F.col("t"), "other"), t="x tool-x:onenote_page_id=p%2F1 y") is None
+    assert one(spark, markup.embedded_id(F.lit(""), F.col("t")), t="x tool-x:onenote_page_id=p%2F1 y") is None
     assert one(spark, markup.quote_url(F.col("t")), t="a b*~/") == "a%20b%2A~%2F"
     assert one(spark, markup.is_safe_url(F.col("t")), t=" HTTPS://x") is True
     assert one(spark, markup.is_safe_url(F.col("t")), t="javascript:x") is False

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,20 +82,28 @@ def test_pair_findings(spark):
 def test_export_plan_is_deterministic(spark):
     schema = "source_page_id string, notebook_title string, section_group_path array<string>, section_title string, page_order int, page_title string, semantic_json string, semantic_sha256 string, resource_hashes array<string>"
     tree = '{"kind":"doc","version":"2","children":[]}'
-    rows = [("p1", "N", ["G"], "S", 0, "A", tree, "d", ["b", "a", "a"]), ("p2", "N", None, " ", 1, "B", tree, "d", [])]
+    rows = [("p1", "N", ["G"], "S", 0, "A", tree, "d", ["b", "a", "a"]), ("p2", "n", None, " ", 1, "", tree, "d", []), ("p3", "N", ["g"], "S", 0, "C", tree, "d", ["a"])]
     plans = []
     for order in (rows, rows[::-1]):
         pages = spark.createDataFrame(order, schema)
         folders, notes = export.folders(pages), export.notes(pages, "snap")
-        plans.append(export.plan_id(folders, notes, "snap", "replace"))
-    assert plans[0] == plans[1] != export.plan_id(folders, notes, "other", "replace")
-    assert sorted((r["level"], r["title"]) for r in folders.collect()) == [(0, "N"), (1, "G"), (1, "Untitled section"), (2, "S")]
+        plans.append(export.plan_id(folders, notes, "snap", "fail"))
+    assert plans[0] == plans[1] != export.plan_id(folders, notes, "other", "fail")
+    moved = export.notes(spark.createDataFrame([(r[0], *r[1:4], 5 - r[4], *r[5:]) for r in rows], schema), "snap")
+    assert export.plan_id(folders, moved, "snap", "fail") != plans[0] or [r["place"] for r in moved.collect()] == [r["place"] for r in notes.collect()]
+    assert sorted((r["level"], r["title"], r["kind"]) for r in folders.collect()) == [
+        (0, "N", "notebook"), (0, "n", "notebook"), (1, "G", "section-group"), (1, "Untitled Section", "section"), (1, "g", "section-group"), (2, "S", "section"), (2, "S", "section"),
+    ]
     parents = {r["folder_id"]: r["parent_id"] for r in folders.collect()}
     assert all(p is None or p in parents for p in parents.values()) and {r["folder_id"] for r in notes.collect()} <= set(parents)
-    kinds = [r["kind"] for r in export.operations(folders, notes).orderBy("phase", "place").collect()]
-    assert kinds == ["create-folder"] * 4 + ["upload-resource"] * 2 + ["create-note"] * 2
+    # titles are compared case-folded: " " and "S", then the group, whatever its case
+    assert [r["source_page_id"] for r in notes.orderBy("place").collect()] == ["p2", "p1", "p3"] and notes.where("title = 'Untitled Page'").count() == 1
+    steps = export.operations(folders, notes).orderBy("place").collect()
+    assert [r["kind"] for r in steps] == ["create-folder"] * 7 + ["upload-resource"] * 2 + ["create-note"] * 3 + ["verify-staged-root"] * 2 + ["promote-root"] * 2
+    assert [r["place"] for r in steps] == list(range(1, 17))
     with pytest.raises(ValueError, match="coverage"):
-        export.guard({"source_backend": "com", "coverage": "partial", "checksums_ok": True}, "replace", 1, 0)
+        export.guard({"source_backend": "com", "coverage": "partial", "checksums_ok": True}, "fail", 1, 0)
+    assert export.same_titles(spark.createDataFrame([("a", "N"), ("b", "N"), ("c", "M")], "notebook_id string, notebook_title string")) == 1
     approval = export.approval(b"plan", "me")
     assert "the dry run was for another plan" in export.preflight(b"plan", {}, approval, {}, {}, set())
 
@@ -109,6 +119,29 @@ def test_validation_issues(spark):
     assert validate.snapshot_issues({"snapshot_id": "a", "coverage": "partial", "checksums_ok": True}, {"snapshot_id": "b", "coverage": "complete", "checksums_ok": False}, {"source_snapshot_id": "x"}) == ["wrong-source-snapshot", "source-coverage-not-complete", "target-checksum"]
 
 
+def test_findings_carry_title_path_and_details(spark):
+    t = "2024-01-01T00:00:00Z"
+    pages = records(spark, [("p1", "A", "# head\n\nbody text\n\n- x", {"created": t}), ("p2", "Alone", "nobody has this")])
+    notes = records(spark, [("n1", "A", "body text", {"embedded": "p1", "created": t}), *[(f"d{k}", "D", f"dup {k}", {"embedded": "gone", "path": ["X"]}) for k in range(3)]])
+    found = {(r["kind"], r["source_page_id"]): r for r in audit.findings(pages, notes, audit.match(pages, notes)).collect()}
+    other = found["semantic-difference", "p1"]
+    assert (other["title"], other["path"]) == ("A", ["Work", "Tasks"]) and other["details"]["missing_blocks"] == "2" and other["details"]["missing_by_kind"] == "heading:1, list:1"
+    assert found["source-page-missing", "p2"]["title"] == "Alone" and found["source-page-missing", "p2"]["details"] == {"visible_text_length": "15"}
+    twice = found["duplicate-targets", "gone"]
+    assert twice["details"]["n_notes"] == "3" and sorted(twice["details"]["note_ids"].split(", ")) == ["d0", "d1", "d2"] and twice["path"] == ["X"]
+    assert twice["details"]["note_ids"].startswith(twice["target_note_id"])
+
+
+def test_drift_is_a_day_after_the_import_and_softens_losses_of_content_only(spark):
+    t, late = "2024-01-01T00:00:00Z", "2024-01-03T00:00:01Z"
+    pages = records(spark, [("p1", "A", "one text", {"created": t, "updated": "2024-01-01T23:00:00Z"}), ("p2", "B", "two text", {"created": t, "updated": late})])
+    notes = records(spark, [("n1", "A", "", {"embedded": "p1", "created": t, "path": ["Y"]}), ("n2", "B", "", {"embedded": "p2", "created": "2024-01-01T01:00:00Z", "path": ["Y"]})])
+    found = {(r["kind"], r["source_page_id"]): (r["evidence"], r["cause"]) for r in audit.findings(pages, notes, audit.match(pages, notes)).collect()}
+    assert ("source-drift", "p1") not in found and found["source-drift", "p2"] == ("informational", "source-drift")
+    assert found["empty-body", "p1"] == ("confirmed", "migration-loss") and found["empty-body", "p2"] == ("uncertain", "source-drift")
+    assert found["semantic-difference", "p2"] == ("uncertain", "source-drift") and found["wrong-placement", "p2"] == ("informational", "migration-loss")
+
+
 def test_reports(spark, tmp_path):
     pages = records(spark, [("p1", "A", "only in the source <b>")])
     notes = records(spark, [("n1", "B", "only in the target")])
@@ -116,9 +149,14 @@ def test_reports(spark, tmp_path):
     found = audit.findings(pages, notes, matches)
     counts = reports.summary(matches, found)
     assert counts["confidence"] == {"unmatched": 1} and counts["kind"]["source-page-missing"] == 1
-    assert "source-page-missing" in reports.html_report("R & D", counts, found) and "R &amp; D" in reports.html_report("R & D", counts, found)
+    whole = "".join(reports.html_parts("R & D", counts, matches, found))
+    assert "source-page-missing" in whole and "R &amp; D" in whole and whole.count("<tr data-kind") == 2 and whole.count("<tr data-confidence") == 2
+    many = found.crossJoin(spark.range(1500)).drop("id")  # all of them are written
+    assert "".join(reports.html_parts("many", counts, matches, many)).count("<tr data-kind") == 3000
+    assert len(json.loads("".join(reports.json_parts(counts, matches, many)))["findings"]) == 3000
     reports.write_reports(matches, found, str(tmp_path / "out"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "missing")).count() == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "missing-pages")).count() == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "findings")).count() == 2
 
 
 def test_catalogue_names_match():
@@ -150,7 +188,8 @@ def test_repair_actions(spark):
     from skarn.normalize import markdown
     from skarn.plans import detect, repair
 
-    rows = [("truncated-text", "probable", "migration-loss", "p", "n", "x"), ("empty-body", "confirmed", "migration-loss", "p", "n", "y"), ("empty-body", "uncertain", "source-drift", "q", "n", ""), ("wrong-placement", "informational", "migration-loss", "r", "n", "")]
+    kinds = [("truncated-text", "probable", "migration-loss", "p", "x"), ("empty-body", "confirmed", "migration-loss", "p", "y"), ("empty-body", "uncertain", "source-drift", "q", ""), ("wrong-placement", "informational", "migration-loss", "r", ""), ("semantic-difference", "probable", "migration-loss", "s", ""), ("collapsed-sources", "probable", "migration-loss", "t", "")]
+    rows = [(kind, evidence, cause, page, "n", "T", ["P"], text, {}) for kind, evidence, cause, page, text in kinds]
     found = repair.actions(spark.createDataFrame(rows, detect.FINDING), "snap")
     assert [(r["source_page_id"], r["reason"]) for r in found.collect()] == [("p", "empty-body: y")]
     assert repair.actions(spark.createDataFrame(rows, detect.FINDING), "snap", include_drift=True).count() == 2
@@ -201,6 +240,6 @@ def test_planned_notes_whose_page_is_gone(spark):
     planned = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("d", "D")], "id string, title string")
     found = spark.createDataFrame([("a", "A!"), ("b", "B!"), ("c", "C"), ("c", "C")], "id string, title string")
     source = spark.createDataFrame([("b",), ("e",)], "id string")
-    assert sorted(map(tuple, validate.note_issues(planned, found, source).collect())) == [
+    assert sorted(map(tuple, validate.note_issues(planned, found, source).select("kind", "id").collect())) == [
         ("planned-source-page-missing", "a"), ("planned-source-page-missing", "c"), ("planned-source-page-missing", "d"), ("wrong-export-title", "b"),
     ]
