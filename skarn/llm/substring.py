@@ -343,6 +343,8 @@ def remove_repeated(
     """
     named = docs.select("text", "doc_id", *(F.col(c).alias(f"_{c}") for c in keep))
     keyed = written(named.select(F.monotonically_increasing_id().alias("row"), *named.columns), "rows")
+    # never null, and Spark knows it: a filter for nulls on one side would keep it from shuffling the texts once for both joins
+    keyed = keyed.select(F.coalesce("row", F.lit(0)).alias("row"), *named.columns)
     kinds = dict(docs.dtypes)
     places = repeated_windows(keyed, window)
 
