@@ -6,6 +6,7 @@ from skarn.plans import (  # noqa: F401  they register
     documents_queries,
     linkage_queries,
     markup_queries,
+    migration_queries,
     more_queries,
     relational_queries,
 )

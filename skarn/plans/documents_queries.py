@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import hashing, markup, text, times
 from skarn.operators import joins, selection
+from skarn.operators.components import checkpointed
 from skarn.plans.registry import query
 from skarn.plans.tables import table
 from skarn.sources.reading import spread
@@ -51,9 +52,9 @@ def unique_digest_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def duplicate_digest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of groups with one digest, with the group's size and first row. A group is never one row."""
-    every = digests(spark, sf_dir).select("doc_id", "digest", "source")
-    grouped = every.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min_by("source", "doc_id").alias("first_source"))
-    return every.select("doc_id", "digest").join(grouped.where("n > 1"), "digest")
+    every = checkpointed(digests(spark, sf_dir).select("doc_id", "digest", "source"))  # texts are normalized once
+    found = selection.members_of_groups(every, "digest", F.struct("doc_id", "source"), F.col("doc_id"))
+    return found.select("doc_id", "digest", "n", F.col("first.doc_id").alias("first_id"), F.col("first.source").alias("first_source"))
 
 
 @query(

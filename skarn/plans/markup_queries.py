@@ -1,13 +1,11 @@
-"""Queries over parsed bodies, and the whole comparison."""
+"""Queries over parsed bodies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions import hashing, text
-from skarn.normalize import columns, model
-from skarn.plans import audit
+from skarn.normalize import columns
 from skarn.plans.registry import query
 from skarn.plans.tables import table
 from skarn.sources.reading import spread
@@ -57,43 +55,3 @@ def block_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("pair", "side", "b.kind", "b.sha256")
     found = multiset_diff(blocks.where("side = 0"), blocks.where("side = 1"), ["pair"], ["kind", "sha256"])
     return describe_counts(found, ["pair"], "kind", "n_missing", "missing")
-
-
-def as_records(df: DataFrame, record_id: str, body: str, path: F.Column) -> DataFrame:
-    """Rows with plain texts as records of a snapshot; they have no titles, so that content alone links them."""
-    nothing = F.array().cast("array<string>")
-    norm = text.normalize_text(F.col(body))
-    plain = df.select(F.col(record_id).cast("string").alias("record_id"), norm.alias("text"), path.alias("_path"))
-    digest = hashing.digest(F.col("text"))
-    resource = "array<struct<sha256:string,status:string,is_image:boolean>>"
-    return plain.select(
-        "record_id", "text", "_path", F.lit("").alias("title"), digest.alias("text_sha256"), digest.alias("semantic_sha256"),
-        F.lit(model.NORMALIZER).alias("normalizer_version"), F.lit(None).cast("string").alias("created_at"), F.lit(None).cast("string").alias("updated_at"),
-        nothing.alias("resource_hashes"), nothing.alias("link_targets"), nothing.alias("warnings"), F.array().cast(resource).alias("resources"),
-        F.lit(0).alias("image_count"), F.lit(0).alias("attachment_count"), F.lit(1).alias("page_level"), F.lit("markdown").alias("raw_content_format"),
-        F.lit(None).cast("string").alias("embedded_page_id"), F.lit("").alias("page_title"),
-    )
-
-
-def collections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two halves of the corpus, as pages of a source and notes of a target."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pages = as_records(docs.where("doc_id % 2 = 0"), "doc_id", "text", F.array(F.lit("source"), F.lit("even")))
-    notes = as_records(docs.where("doc_id % 2 = 1"), "doc_id", "text", F.array(F.lit("target"), F.lit("odd")))
-    return audit.prepared(pages, "record_id", "page_title", F.col("_path")), audit.prepared(notes, "record_id", "title", F.col("_path"))
-
-
-@query()
-def audit_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One half of the corpus matched against the other: one row for each link or unmatched page."""
-    pages, notes = collections(spark, sf_dir)
-    found = audit.match(pages, notes).where("source_page_id is not null")
-    return found.select("source_page_id", "target_note_id", "confidence", "stage", "score", "margin", F.array_join("explanation", " | ").alias("explanation"))
-
-
-@query()
-def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the comparison, counted by kind, evidence and cause."""
-    pages, notes = collections(spark, sf_dir)
-    found = audit.findings(pages, notes, audit.match(pages, notes))
-    return found.groupBy("kind", "evidence", "cause").agg(F.count("*").alias("n"))

@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions import hashing
-from skarn.operators import features
+from skarn.operators import features, selection
+from skarn.operators.multisets import set_differences
 from skarn.plans import detect, export, inspect
 from skarn.plans.registry import query
 from skarn.plans.tables import table
 
 
 @query(
-    """SELECT action_id, page, place FROM (SELECT substr(sha256('snap|' || page || '|full-export'), 1, 16) AS action_id, page,
-      row_number() OVER (ORDER BY source, lang, n_chars, page) AS place FROM (SELECT 'd' || doc_id AS page, source, lang, n_chars FROM documents)) WHERE place > 0"""
+    """SELECT substr(sha256('snap|' || page || '|full-export'), 1, 16) AS action_id, page, row_number() OVER (ORDER BY source, lang, section, n_chars, page) AS place
+      FROM (SELECT 'd' || doc_id AS page, lower(source) AS source, lower(lang) AS lang, CAST(n_chars % 7 AS VARCHAR) AS section, n_chars FROM documents)"""
 )
 def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Action ids and the total order of pages."""
-    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("page"), "source", "lang", "n_chars")
-    numbered = global_rank(pages, ["source", "lang", "n_chars", "page"])
-    return numbered.select(export.short_id(F.lit("snap"), F.col("page"), F.lit("full-export")).alias("action_id"), "page", "place")
-
-
-def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
-    """The place of each row in a total order (from 1): places within the leading key, plus the rows of
-    the keys before it, so that no task sorts all rows."""
-    first = order[0]
-    sizes = df.groupBy(first).agg(F.count("*").alias("_n"))  # one row for each leading key
-    before = sizes.select(first, F.coalesce(F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(first).orderBy(*order[1:]))
-    return df.withColumn("_inside", inside).join(before, first).withColumn("place", F.col("_inside") + F.col("_before")).drop("_inside", "_before")
+    pages = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), "doc_id").alias("source_page_id"), F.col("source").alias("notebook_title"), F.array("lang").alias("section_group_path"),
+        (F.col("n_chars") % 7).cast("string").alias("section_title"), F.col("n_chars").alias("page_order"),
+    )
+    ranked = selection.global_rank(pages, export.page_order())
+    return ranked.select(export.short_id(F.lit("snap"), F.col("source_page_id"), F.lit("full-export")).alias("action_id"), F.col("source_page_id").alias("page"), "place")
 
 
 @query(
@@ -45,7 +39,8 @@ def ownership_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, customer, part = (table(spark, sf_dir, t) for t in ("nation", "customer", "part"))
     mark = F.when(F.col("n_nationkey") % 5 != 0, F.lit('{"export":{"plan_id":"p","state":"published"}}'))
     folders = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("").alias("parent_id"), mark.alias("user_data"))
-    used = part.where("p_partkey % 7 <> 0").select((F.col("p_partkey") % 97).alias("k"), F.concat(F.lit("p"), "p_partkey").alias("r")).groupBy("k").agg(F.collect_list("r").alias("resource_ids"))
+    # each part belongs to one customer, so that resources are a few a note
+    used = part.where("p_partkey % 7 <> 0").select(F.floor(F.col("p_partkey") * 0.75).alias("k"), F.concat(F.lit("p"), "p_partkey").alias("r")).groupBy("k").agg(F.collect_list("r").alias("resource_ids"))
     notes = customer.select(
         F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent_id"), F.col("c_name").alias("source_url"), F.col("c_custkey").alias("k")
     ).join(used, "k", "left").withColumn("resource_ids", F.coalesce("resource_ids", F.array().cast("array<string>")))
@@ -136,19 +131,17 @@ def pair_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row of each key in order."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    first = F.min_by(F.struct("l_linenumber", "l_partkey", "l_quantity"), F.struct("l_linenumber", "l_partkey", "l_suppkey"))
-    return rows.groupBy("l_orderkey").agg(first.alias("f")).select("l_orderkey", "f.*")
+    first = selection.keep_first(rows, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")])
+    return first.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
 @query(
-    """SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_done, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(DISTINCT o_custkey) AS n_customers FROM orders"""
+    """SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_done, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_totalprice > 150000) AS n_large FROM orders"""
 )
 def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by status in one pass."""
-    return table(spark, sf_dir, "orders").agg(
-        F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_done"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"),
-        F.countDistinct("o_custkey").alias("n_customers"),
-    )
+    status = F.col("o_orderstatus")
+    return inspect.record_counts(table(spark, sf_dir, "orders"), {"n_done": status == "F", "n_open": status == "O", "n_large": F.col("o_totalprice") > 150_000})
 
 
 @query()
@@ -170,6 +163,4 @@ def shared_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count_if(left).alias("n_left"), F.count_if(~left).alias("n_right"), F.collect_set(F.when(left, F.col("l_suppkey"))).alias("a"), F.collect_set(F.when(~left, F.col("l_suppkey"))).alias("b")
     ).where("n_left > 0 and n_right > 0")
-    return sets.select("l_orderkey", "n_left", "n_right", F.size(F.array_intersect("a", "b")).cast("long").alias("n_common"))
-
-
+    return sets.select("l_orderkey", "n_left", "n_right", F.size(set_differences(F.col("a"), F.col("b"))[2]).cast("long").alias("n_common"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions import hashing
-from skarn.operators import joins, multisets, selection, trees
+from skarn.operators import multisets, selection, trees
 from skarn.plans.registry import query
 from skarn.plans.tables import table
+from skarn.sources import scans, snapshot
 
 
 @query(
@@ -23,39 +24,39 @@ def section_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT n_regionkey, n_nationkey, dated, files FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY dated DESC, files DESC, newest DESC, n_name DESC) AS k
+    """SELECT n_regionkey, n_nationkey, dated, files FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY dated DESC, files DESC, newest DESC, n_nationkey DESC) AS k
       FROM (SELECT n_regionkey, n_nationkey, n_name, count(*) FILTER (c_mktsegment = 'BUILDING') AS dated, count(*) AS files, max(c_custkey) AS newest
         FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)) WHERE k = 1"""
 )
 def root_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best-scored folder by a tuple of counts: the largest nation of each region."""
-    scored = (
-        table(spark, sf_dir, "customer").groupBy("c_nationkey")
-        .agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("dated"), F.count("*").alias("files"), F.max("c_custkey").alias("newest"))
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    nation = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey")
+    files = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "n_regionkey", "n_nationkey", (F.col("c_mktsegment") == "BUILDING").alias("dated"), F.lit(1).alias("version"), F.col("c_custkey").alias("modified")
     )
-    best = F.max_by(F.struct("n_nationkey", "dated", "files"), F.struct("dated", "files", "newest", "n_name"))
-    return scored.groupBy("n_regionkey").agg(best.alias("b")).select("n_regionkey", "b.*")
+    found = scans.best_root(files, "n_nationkey", ("n_regionkey",))
+    return found.select("n_regionkey", "n_nationkey", F.col("n_dated").alias("dated"), F.col("n_files").alias("files"))
 
 
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations and customers as one adjacency list."""
+    """Regions, nations and customers as one adjacency list, and a ring that is its own parent."""
     region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     return (
         region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("").alias("parent_id"), F.col("r_name").alias("title"))
         .unionByName(nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("title")))
         .unionByName(customer.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent_id"), F.col("c_name").alias("title")))
+        .unionByName(region.select(F.concat(F.lit("x"), "r_regionkey").alias("id"), F.concat(F.lit("x"), (F.col("r_regionkey") + 1) % 5).alias("parent_id"), F.col("r_name").alias("title")))
     )
 
 
 FOLDERS = """folders AS (SELECT 'r' || r_regionkey AS id, '' AS parent_id, r_name AS title FROM region
-  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer)"""
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer UNION ALL SELECT 'x' || r_regionkey, 'x' || ((r_regionkey + 1) % 5), r_name FROM region)"""
 
 
 @query(
-    f"""WITH RECURSIVE {FOLDERS}, paths AS (SELECT id, title AS path, 0 AS level FROM folders WHERE parent_id = ''
-      UNION ALL SELECT f.id, p.path || ' / ' || f.title, p.level + 1 FROM folders f JOIN paths p ON f.parent_id = p.id WHERE p.level < 99)
-    SELECT id, path, level FROM paths"""
+    f"""WITH RECURSIVE {FOLDERS}, up AS (SELECT id, parent_id AS next, [title] AS path, 1 AS hops FROM folders
+      UNION ALL SELECT u.id, f.parent_id, list_prepend(f.title, u.path), hops + 1 FROM up u JOIN folders f ON f.id = u.next WHERE hops < 100)
+    SELECT id, array_to_string(arg_max(path, hops), ' / ') AS path, max(hops) - 1 AS level FROM up GROUP BY id"""
 )
 def folder_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path of every folder."""
@@ -87,18 +88,25 @@ def export_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT source, count(*) AS n_total, count(l.doc_id) AS n_excluded, count(*) - count(l.doc_id) AS n_left, min(d.doc_id) FILTER (l.doc_id IS NULL) AS first_left
-    FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source"""
+    """WITH pages AS (SELECT doc_id, source FROM documents WHERE doc_id % 10 <> 0), x AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 0),
+    kept AS (SELECT * FROM pages WHERE doc_id NOT IN (SELECT doc_id FROM x)), staged AS (SELECT doc_id FROM labels WHERE quality = 1)
+    SELECT source, n_total, n_kept, n_left, first_left, (SELECT count(*) FROM x WHERE doc_id IN (SELECT doc_id FROM pages)) AS n_excluded,
+      (SELECT count(*) FROM x WHERE doc_id NOT IN (SELECT doc_id FROM pages)) AS n_stale
+    FROM (SELECT source, count(*) AS n_total FROM pages GROUP BY source) LEFT JOIN (SELECT source, count(*) AS n_kept FROM kept GROUP BY source) USING (source)
+      LEFT JOIN (SELECT source, count(*) AS n_left, min(doc_id) AS first_left FROM kept WHERE doc_id NOT IN (SELECT doc_id FROM staged) GROUP BY source) USING (source)"""
 )
 def excluded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that an exclusion list names, and those that are left, by source."""
+    """Documents as pages, of which a tenth lies in the bin: those that an exclusion list leaves, and of these those not captured yet, by source."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
-    total = docs.groupBy("source").agg(F.count("*").alias("n_total"))
-    left = joins.excluding(docs, labels, "doc_id").groupBy("source").agg(F.count("*").alias("n_left"), F.min("doc_id").alias("first_left"))
-    return total.join(left, "source", "left").select(
-        "source", "n_total", (F.col("n_total") - F.coalesce("n_left", F.lit(0))).alias("n_excluded"),
-        F.coalesce("n_left", F.lit(0)).alias("n_left"), "first_left",
+    pages = docs.select(F.col("doc_id").alias("page_id"), "source", (F.col("doc_id") % 10 == 0).alias("in_recycle_bin"))
+    kept, counts = scans.without_excluded(pages, labels.where("toxic = 0").select(F.col("doc_id").alias("page_id")).distinct())
+    rest = snapshot.not_yet_captured(kept, labels.where("quality = 1").select(F.col("doc_id").alias("page_id")), "page_id")
+    total = pages.where("not in_recycle_bin").groupBy("source").agg(F.count("*").alias("n_total"))
+    found = total.join(kept.groupBy("source").agg(F.count("*").alias("n_kept")), "source", "left").join(
+        rest.groupBy("source").agg(F.count("*").alias("n_left"), F.min("page_id").alias("first_left")), "source", "left"
     )
+    told = counts.first()  # one row
+    return found.withColumns({"n_excluded": F.lit(told["n_excluded"]), "n_stale": F.lit(told["n_stale"])})
 
 
 @query(
@@ -129,22 +137,30 @@ def resource_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text(c):
         return F.array_join(c.cast("array<string>"), ",")
 
-    return sets.select(
-        "l_orderkey", text(F.array_except("a", "b")).alias("missing"), text(F.array_except("b", "a")).alias("added"),
-        F.size(F.array_intersect("a", "b")).cast("long").alias("n_common"),
-    )
+    missing, added, common = multisets.set_differences(F.col("a"), F.col("b"))
+    return sets.select("l_orderkey", text(missing).alias("missing"), text(added).alias("added"), F.size(common).cast("long").alias("n_common"))
 
 
 @query(
-    """SELECT status, count(*) AS n, min(k) AS first_key, max(k) AS last_key FROM (SELECT coalesce(a.k, b.k) AS k,
-      CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS status
-      FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P') a FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) b ON a.k = b.k) GROUP BY status"""
+    """WITH refs AS (SELECT DISTINCT page_id AS note_id, unnest([md5(url), md5(html)]) AS ref FROM pages),
+    held AS (SELECT page_id AS note_id, md5(url) AS ref FROM pages WHERE page_id % 3 <> 0 UNION SELECT page_id, md5(CAST(page_id AS VARCHAR)) FROM pages)
+    SELECT status, referenced, count(*) AS n, min(note_id) AS first_note, max(note_id) AS last_note FROM (
+      SELECT coalesce(r.note_id, h.note_id) AS note_id, CASE WHEN h.ref IS NULL THEN 'missing' ELSE 'ok' END AS status, r.ref IS NOT NULL AS referenced
+      FROM refs r FULL JOIN held h ON r.note_id = h.note_id AND r.ref = h.ref) GROUP BY status, referenced"""
 )
 def reference_vs_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References against what is attached: in both, or missing on a side."""
-    left = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"))
-    right = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
-    return joins.compare_full(left, right, ["k"]).groupBy("status").agg(F.count("*").alias("n"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+    """Resources that bodies refer to against those attached: missing, unreferenced, or both."""
+    pages = table(spark, sf_dir, "pages")
+
+    def md5(c) -> F.Column:
+        return F.md5(c.cast("binary"))
+
+    notes = pages.select(F.col("page_id").alias("note_id"), F.concat(F.lit("![a](:/"), md5(F.col("url")), F.lit(") [b](:/"), F.upper(md5(F.col("html"))), F.lit(")")).alias("body"))
+    attached = pages.where("page_id % 3 <> 0").select(F.col("page_id").alias("note_id"), md5(F.col("url")).alias("ref")).unionByName(
+        pages.select(F.col("page_id").alias("note_id"), md5(F.col("page_id").cast("string")).alias("ref"))
+    )
+    found = scans.referenced_resources(notes, attached)
+    return found.groupBy("status", "referenced").agg(F.count("*").alias("n"), F.min("note_id").alias("first_note"), F.max("note_id").alias("last_note"))
 
 
 LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents"
@@ -212,5 +228,4 @@ def inventory_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part")
     ).withColumn("j", hashing.canonical_row("order", "part", "line"))
-    joined = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("j")), ","), F.lit("]"))
-    return rows.groupBy("l_orderkey").agg(hashing.digest(joined).alias("inventory_hash"), F.count("*").alias("n"))
+    return rows.groupBy("l_orderkey").agg(hashing.sorted_digest(F.col("j")).alias("inventory_hash"), F.count("*").alias("n"))
