@@ -225,7 +225,7 @@ def write_token_files(
     tokenizer = tokenizer or tokenizer_path()
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
     kind = id_type(vocabulary)
-    staged = written(stage_ids(docs, tokenizer, end_id), "ids")
+    staged = written(stage_ids(docs, tokenizer, end_id), "ids", "snappy")  # ids hardly compress, and zstd takes its time to find out
     counts = count_ids(staged, kind, vocabulary)
     lengths = code_lengths(counts, limit)
     used = np.flatnonzero(lengths)
