@@ -13,6 +13,9 @@ checks every code point of these blocks).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 from functools import lru_cache
@@ -327,3 +330,15 @@ def batches(texts: list, most_chars: int = PART_CHARS):
 def bulk_encoder(path: str) -> BulkEncoder:
     """One encoder in each Python worker."""
     return BulkEncoder(path)
+
+
+def drop_encoders() -> None:
+    """Frees the encoder, with its words, that an earlier operator has left in this worker; for operators that encode nothing.
+
+    Spark keeps its Python workers from one operator to the next, and so their memory.
+    """
+    if bulk_encoder.cache_info().currsize:
+        bulk_encoder.cache_clear()
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # where the C library has it, freed memory goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)

@@ -33,6 +33,7 @@ from zstandard import ZstdCompressor, ZstdDecompressor
 
 from skarn.llm.common import arrow_map, written
 from skarn.llm.encoding import batches as text_ranges
+from skarn.llm.encoding import drop_encoders
 
 #: A difference cover (fixed values): differences of these give all residues modulo 21.
 PERIOD = 21
@@ -249,6 +250,7 @@ def send(docs: DataFrame, key_bytes: int, buckets: int, records) -> DataFrame:
     """Blocks of the records that ``records()`` finds in each batch of ``docs(row, text, ...)``."""
 
     def run(all_batches):
+        drop_encoders()
         find, sender = records(), Sender(key_bytes, buckets)
         for batch in all_batches:
             texts = batch.column(1).to_pylist()
