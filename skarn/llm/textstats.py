@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from skarn.llm.encoding import drop_encoders
+
 WORDS = 300_000  # distinct words of one worker; the table starts anew beyond it
 
 COLUMNS = (
@@ -37,6 +39,7 @@ class WordTable(dict):
     words that only match with their disguise taken off."""
 
     def __init__(self, lexicon: dict[str, tuple[float, ...]] | None = None, weights: int = 0):
+        drop_encoders()  # a worker holds the words of one or the other
         super().__init__()
         self.lexicon, self.weights = lexicon or {}, weights
         self.width = len(COLUMNS) + 2 * weights
