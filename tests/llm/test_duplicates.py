@@ -323,3 +323,15 @@ def test_nearest_match_brute_force(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in ties} == {(q, k + 1, v + k) for q, v in ((0, 1), (5000, 0)) for k in range(10)}
     assert nearest.nearest(few, few.where("vec_id = 0")).count() == 2
     assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_fingerprints_of_very_long_texts_and_of_very_many_rows_without_an_id(spark):
+    draw = random.Random(9)
+    long = " ".join(f"w{draw.randrange(5000)}" for _ in range(60_000))
+    assert simhash.fingerprint(long) == brute_fingerprint(long)
+    rows = [(None, "a copy of many")] * 3000 + [(7, "a copy of many")] * 2000 + [(9, long), (None, long + " end")]
+    found = simhash.near_duplicates(documents(spark, rows)).groupBy("doc_id", "fingerprint", "component_id").count().collect()
+    assert sum(r["count"] for r in found) == len(rows)
+    assert {r["component_id"] for r in found if r["fingerprint"] == f"{brute_fingerprint('a copy of many'):016x}"} == {7}
+    kept = similar.first_of_each_group(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"] or -1) for r in kept) == [7, 9]

@@ -314,3 +314,16 @@ def test_file_numbers_ascend_with_ids():
         for i in np.unique(ids):
             own = numbers[ids == i]
             assert numbers[ids < i].max(initial=0) <= own.min() and own.max() <= numbers[ids > i].min(initial=7)
+
+
+def test_very_long_texts_are_read_whole(spark, tmp_path):
+    draw = random.Random(2)
+    text = "".join(draw.choice(["alpha ", "beta\n", "ünï ", "12 ", "  "]) for _ in range(120_000))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (None, text[:50_000])], "doc_id long, text string")
+    sections = token_counts.section_token_counts(docs).collect()
+    own = [r for r in sections if r["doc_id"] == 1]
+    assert sum(r["n_tokens"] for r in own) == len(ids_of(text)) and max(r["end_char"] for r in own) == len(text) and len(own) == text.count("\n") + (not text.endswith("\n"))
+    path = f"file://{tmp_path}/long"
+    token_files.write_token_files(docs, path, block_tokens=1000)
+    found = {r["n_tokens"]: r["ids"] for r in token_files.read_token_files(spark, path).collect()}
+    assert found[len(ids_of(text)) + 1] == [*ids_of(text), 2] and len(found) == 3
