@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -168,6 +169,45 @@ def test_similar_groups_match_brute_force_but_for_the_estimate_s_error(spark, mo
     assert len(near) > 20 and np.mean([found[a] == found[b] for a, b in near]) > 0.85
 
 
+@pytest.mark.parametrize("pairs", [1, similar.PAIRS])
+def test_screened_groups_are_those_of_all_pairs_of_a_tile(monkeypatch, pairs):
+    monkeypatch.setattr(similar, "PAIRS", pairs)
+    monkeypatch.setattr(similar, "PART", 150)
+    draw = np.random.default_rng(8)
+    sizes = [200, 1, 150, 40, 2, 100, 3]  # the first is too large to be screened
+    tile, node = np.repeat(np.arange(len(sizes)), sizes), draw.permutation(sum(sizes))
+    base = draw.integers(0, 1 << 63, 12, dtype=np.uint64)
+    sig = base[draw.integers(0, 12, len(tile))]
+    for _ in range(4):  # chains, in which the ends differ more than neighbours do
+        sig = sig ^ (np.uint64(1) << draw.integers(0, 64, len(tile), dtype=np.uint64))
+    label = list(range(len(tile)))
+    for i in range(len(tile)):
+        for j in range(i):
+            if tile[i] == tile[j] and label[i] != label[j] and (tile[i] == 0 or (int(sig[i]) ^ int(sig[j])).bit_count() <= 5):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = {tuple(sorted(node[k] for k in range(len(tile)) if label[k] == x)) for x in set(label)}
+    group, member = similar.screened(tile, node, sig, 5)
+    found = {}
+    for g, m in zip(group, member, strict=True):
+        found.setdefault(g, []).append(m)
+    assert {tuple(sorted(x)) for x in found.values()} == {x for x in want if len(x) > 1}
+    assert len(found) > 10
+
+
+def test_a_tile_of_many_near_copies_is_screened_in_little_memory():
+    rows = 4000  # eight million pairs
+    tile, node, sig = np.zeros(rows, np.int64), np.arange(rows), np.zeros(rows, np.uint64)
+    sig[::2] = 1
+    tracemalloc.start()
+    try:
+        group, member = similar.screened(tile, node, sig, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(set(group.tolist())) == 1 and sorted(member.tolist()) == list(range(rows))
+    assert peak < 48e6
+
+
 def test_first_of_each_group_tells_rows_of_one_id_apart(spark):
     long = " ".join(f"q{k}" for k in range(120))
     rows = [
