@@ -350,3 +350,31 @@ def test_greedy_links_match_the_rule_row_by_row(spark, seed):
     schema = "k string, id string, at double, ord string"
     found = joins.greedy_band_link(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["k"], "at", "ord", 120)
     assert rows(found.select("left_id", "right_id")) == sorted(expected)
+
+
+def test_text_similarity_reads_whole_texts(spark):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9))) for _ in range(300)]
+    begin, first, second = (" ".join(draw.choice(words) for _ in range(n)) for n in (1000, 900, 900))
+    assert len(begin) > 5000
+
+    def expected(a, b):
+        matched = sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        return max(2 * matched / (len(a) + len(b)), 0.95 * matched / min(len(a), len(b)))
+
+    pairs = [(begin + first, begin + second), (begin + first, second), (first, begin + first), (begin, second), ("é😀" * 40 + first, first[50:] + "😀é")]
+    for a, b in pairs:  # the same by difflib alone and by runs of equal characters
+        assert features.shared_part(a, b) == expected(a, b)
+        assert features.shared_part(a, b, 0.99) in (0.0, expected(a, b)) and features.shared_part(a, b, expected(a, b) - 0.01) == expected(a, b)
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", features.text_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert all(abs(r["s"] - expected(r["a"], r["b"])) < 1e-12 for r in got)
+
+
+def test_matching_is_that_of_difflib(monkeypatch):
+    draw = random.Random(6)
+    for k in range(600):
+        monkeypatch.setattr(features, "SEEDS", 40 if k % 4 == 0 else 1 << 22)
+        letters = ("ab", "abcdefgh zé😀", "abcdefghijklmnopqrstuvwxyz   eeee")[k % 3]
+        a, b = ("".join(draw.choice(letters) for _ in range(draw.randint(1, 400))) for _ in range(2))
+        b = b if k % 2 else a[len(a) // 3 :] + a[: draw.randint(0, len(a))] + "q"
+        assert features.Matching(a, b).size() == sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
