@@ -378,3 +378,14 @@ def test_matching_is_that_of_difflib(monkeypatch):
         a, b = ("".join(draw.choice(letters) for _ in range(draw.randint(1, 400))) for _ in range(2))
         b = b if k % 2 else a[len(a) // 3 :] + a[: draw.randint(0, len(a))] + "q"
         assert features.Matching(a, b).size() == sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def test_pairs_meet_only_keys_that_both_sides_hold(spark):
+    rows = [(f"s{k}", "line", f"own{k}-{j}") for k in range(3) for j in range(50)] + [(f"s{k}", "line", "both") for k in range(3)]
+    source = spark.createDataFrame(rows, "s string, kind string, key string")
+    target = source.select(F.replace("s", F.lit("s"), F.lit("t")).alias("t"), "kind", F.when(F.col("key") == "both", "both").otherwise(F.concat("key", F.lit("t"))).alias("key"))
+    left, right = (df.select(name, "kind", F.xxhash64("kind", "key").alias("hash")) for df, name in ((source, "s"), (target, "t")))
+    found = blocking.best_pairs(left, right, "s", "t", 100, 1000, ["line"])
+    assert sorted(tuple(r) for r in found.collect()) == [(f"s{a}", f"t{b}", 8.0) for a in range(3) for b in range(3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "struct(kind" not in plan
