@@ -380,6 +380,22 @@ def test_matching_is_that_of_difflib(monkeypatch):
         assert features.Matching(a, b).size() == sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
 
 
+def test_texts_in_others_meet_few(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefghé ") for _ in range(draw.randint(3, 9))) for _ in range(60)]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(8, 60))) for _ in range(120)]
+    parts = [(t := texts[draw.randrange(120)])[(k := draw.randrange(len(t) // 2)) : k + draw.randint(45, 80)] for _ in range(60)] + texts[:20]
+    items, docs = [(f"i{k}", t) for k, t in enumerate(parts)], [(k, f"o{k * 37 % 101:03}", t) for k, t in enumerate(texts + texts[:30])]
+    expected = []
+    for name, t in items:
+        around = [(o, d) for d, o, x in docs if len(t) >= 50 and len(x) > len(t) and t in x]
+        expected += [(name, min(around)[1])] if around else []
+    given = spark.createDataFrame(items, "i string, text string"), spark.createDataFrame(docs, "d int, ord string, text string")
+    assert len(expected) > 20 and sorted(tuple(r) for r in blocking.containment(*given, "i", "d", "ord").collect()) == sorted(expected)
+    for inner, outer in ((b"x" * 60, b"y" * 50 + b"x" * 61), (b"ab" * 40, b"ab" * 50)):
+        assert set(blocking.least_grams(inner, 50)) <= set(blocking.least_grams(outer, 50))
+
+
 def test_pairs_meet_only_keys_that_both_sides_hold(spark):
     rows = [(f"s{k}", "line", f"own{k}-{j}") for k in range(3) for j in range(50)] + [(f"s{k}", "line", "both") for k in range(3)]
     source = spark.createDataFrame(rows, "s string, kind string, key string")
