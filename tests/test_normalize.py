@@ -193,3 +193,13 @@ def test_hierarchy():
     rows = {r["page_id"]: r for r in pagexml.hierarchy(xml)}
     assert rows["p2"]["page_order"] == 1 and rows["p2"]["page_level"] == 2 and rows["p2"]["groups"] == ["G"]
     assert rows["p3"]["in_recycle_bin"] and rows["p3"]["groups"] == ["G", "H"] and not rows["p1"]["in_recycle_bin"]
+
+
+def test_bodies_go_on_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from skarn.normalize import columns
+
+    monkeypatch.setattr(columns, "SLICE", 10)
+    parts = list(columns.slices(pa.array(["abcdef", None, "ghijkl", "", "m" * 30, "n"])))
+    assert parts == [(0, ["abcdef", None, "ghijkl"]), (3, ["", "m" * 30]), (5, ["n"])] and not list(columns.slices(pa.array([], pa.string())))
