@@ -405,3 +405,11 @@ def test_pairs_meet_only_keys_that_both_sides_hold(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(f"s{a}", f"t{b}", 8.0) for a in range(3) for b in range(3)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "struct(kind" not in plan
+
+
+def test_pairs_below_the_baseline_link_no_components(spark, monkeypatch):
+    seen = []
+    whole = assignment.connected_components
+    monkeypatch.setattr(assignment, "connected_components", lambda nodes: seen.append(nodes.count()) or whole(nodes))
+    edges = spark.createDataFrame([("a", "x", 0.9), ("a", "y", 0.3), ("b", "y", 0.8), ("b", "x", 0.45)], "source_id string, target_id string, score double")
+    assert rows(assignment.assign(edges).select("source_id", "target_id")) == [("a", "x"), ("b", "y")] and seen == [2]
